@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, near_dup, quality_rules, secret_scan
+from . import fingerprints, langid, line_dedup, mixing, near_dup, packing, quality_rules, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,18 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.deduplicate(documents(spark, sf_dir), shingle=3, percent=85)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(documents(spark, sf_dir))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
@@ -41,6 +53,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": op3_secret_scan,
         "op4_mixing": op4_mixing,
         "op5_near_dup": op5_near_dup,
+        "op8_fingerprints": op8_fingerprints,
+        "op9_line_dedup": op9_line_dedup,
+        "op10_packing": op10_packing,
     }
 
 
