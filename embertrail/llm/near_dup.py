@@ -74,7 +74,7 @@ def super_min_hash(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
     doc = np.repeat(np.arange(len(sets)), sizes)
     flat, perm = reg.reshape(-1), None
     for j in range(m):
-        x = mix(elem + np.uint64(j + 1) * _G)
+        x = mix(elem + np.uint64((j + 1) * int(_G) % 2**64))
         r = (x >> np.uint64(11)).astype(float) * 2.0**-53
         k = j + (mix(x) % np.uint64(m - j)).astype(np.int64)
         if perm is None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, line_dedup, mixing, near_dup, packing, quality_rules, secret_scan
+from . import fingerprints, langid, line_dedup, mixing, near_dup, packing, pii, quality_classifier, quality_rules, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,15 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.deduplicate(documents(spark, sf_dir), shingle=3, percent=85)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(documents(spark, sf_dir))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.classify(documents(spark, sf_dir), labels).select("doc_id", "p_content", "p_meta", "score", "kept")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(documents(spark, sf_dir))
 
@@ -53,6 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": op3_secret_scan,
         "op4_mixing": op4_mixing,
         "op5_near_dup": op5_near_dup,
+        "op6_pii": op6_pii,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_fingerprints": op8_fingerprints,
         "op9_line_dedup": op9_line_dedup,
         "op10_packing": op10_packing,
