@@ -6,13 +6,16 @@ can still fall, so long documents cost about one rank an element. Signatures are
 are as many as keep the chance to miss a pair at the threshold below ``MISS``.
 
 Documents with equal sets form one class first, so copies cost nothing further. Classes that share a band meet in a
-bucket; a bucket of k classes gives k - 1 pairs with its leader, not all pairs. Verified pairs are grouped. Only
-buckets that still hold several groups go on: their groups are paired by a new leader in each round, and what is left
-after ``rounds`` rounds is paired between different groups, pruned by set size and by the likeness of signatures.
+bucket; a bucket of k classes gives k - 1 pairs with its leader, not all pairs. Verified pairs are grouped by
+alternating large and small stars. The classes of buckets that still hold several groups go through an exact prefix
+filter: their elements are ordered by rarity among them, and two sets can only reach the threshold if they share one of
+their first elements, as many as the threshold leaves over for their sizes; only pairs of different groups that do are
+verified. So near copies that all differ from each other by edits of their own are never paired.
 Every pair is confirmed on full sets, as 100 * intersection >= percent * union.
 
-The pruning by signature discards a pair whose estimate lies below the threshold by more than six standard
-deviations of a MinHash estimate; like the banding it can lose a link with a chance below one in a million.
+Leader pairs are first held against their signatures; a pair is discarded if its estimate lies below the threshold by
+more than six standard deviations of a MinHash estimate. Like the banding this can lose a link with a chance below one
+in a million.
 
 Defined cases: a text without words, or null, has an empty set, links with nothing and is kept. Rows that share a
 doc_id count as equal ids. A row of null doc_id takes no part: component_id is null and kept is true. Other columns are
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Slice, column, cut, drop, mix, slices, span_hashes
@@ -177,7 +180,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         new = cut(small.distinct(), "small")
@@ -190,67 +193,74 @@ def _empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def _elements(sets: DataFrame) -> DataFrame:
+    """rep, n, root, e: a row for every element of the sets (rep, root, elements)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rep, root, held = (column(b, c) for c in ("rep", "root", "elements"))
+            for i in range(0, b.num_rows, 256):
+                parts = [np.frombuffer(x.as_buffer(), np.int64) for x in held.slice(i, 256)]
+                n = np.array([len(x) for x in parts])
+                of = [np.repeat(c.slice(i, 256).to_numpy(), n) for c in (rep, root)]
+                yield pa.RecordBatch.from_arrays([pa.array(of[0]), pa.array(np.repeat(n, n), pa.int64()), pa.array(of[1]), pa.array(np.concatenate(parts))], ["rep", "n", "root", "e"])
+
+    return sets.select("rep", "root", "elements").mapInArrow(run, "rep long, n long, root long, e long")
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: every pair of sets (rep, root, elements) of different roots that may reach the threshold. Exact."""
+    rows = cut(_elements(sets), "elements")
+    often = rows.groupBy("e").agg(F.count("*").alias("f"), F.min("root").alias("_x"), F.max("root").alias("_y")).where("f > 1")
+    # Elements of one set only come first in its order; they match nothing, so only their number counts.
+    common = rows.join(often, "e")
+    own, order = Window.partitionBy("rep"), Window.partitionBy("rep").orderBy("f", "e")
+    placed = common.select("rep", "n", "root", "e", "_x", "_y", (F.col("n") - F.count("*").over(own) + F.row_number().over(order)).alias("rank"))
+    first = cut(placed.where(F.expr(f"rank <= n - (n * {percent} + 99) div 100 + 1 and _x <> _y")).select("rep", "n", "root", "e", "rank"), "prefixes")
+    drop(rows)
+    x, y = first.toDF("a", "na", "ra", "e", "ka"), first.toDF("b", "nb", "rb", "e", "kb")
+    need = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"  # least intersection at the threshold
+    fit = f"ra <> rb and (na < nb or (na = nb and a < b)) and na * 100 >= nb * {percent} and ka <= na - {need} + 1 and kb <= nb - {need} + 1"
+    return x.join(y, "e").where(fit).select("a", "b").distinct()
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = cut(_signatures(docs, shingle, percent), "signatures")
     own = sig.where("n > 0 and doc_id is not null")
     classes = cut(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = cut(own.join(classes.select(F.col("rep").alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in ("n", "d1", "d2")]), "doc_id").where("n = _n and d1 = _d1 and d2 = _d2").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "bands", "sig"), "reps")
-    rows = reps.select("rep", "n", F.explode("bands").alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key"), "keys")
-    buckets = cut(rows.join(shared, "key"), "buckets")
-    drop(shared)
-
-    links = roots = None
-    sets = None
-
-    def verified(pairs: DataFrame, what: str) -> DataFrame:
-        nonlocal sets
-        likely = cut(_likeness(_with_both(pairs, reps, "sig"), "sig", percent), f"likely-{what}")
-        ends = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
-        more = ends if sets is None else ends.join(sets.select("rep"), "rep", "left_anti")
-        new = cut(_sets(docs.join(more.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), shingle).dropDuplicates(["rep"]), "sets")
-        sets = new if sets is None else sets.unionByName(new)
-        out = cut(_likeness(_with_both(likely, sets, "elements"), "set", percent), f"links-{what}")
-        drop(likely)
-        return out
-
-    sizes_fit = F.col("n") * 100 >= F.col("m") * percent
-    for turn in range(rounds + 1):
-        # Groups in each bucket; a bucket that holds one group is done.
-        here = buckets if roots is None else buckets.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        here = here.withColumn("root", F.col("rep")) if roots is None else here
-        here = cut(here.select("key", "rep", "n", "root"), "here") if turn else here
-        if turn < rounds:
-            if turn == 0:
-                lead = here.groupBy("key").agg(F.min("rep").alias("lead"), F.lit(0).cast("long").alias("lead_root"))
-            else:  # the leader is another group's document each time; one group alone needs none
-                by = F.struct(F.xxhash64(F.lit(turn), "root"), F.xxhash64(F.lit(turn), "rep"), "rep", "root")
-                lead = here.groupBy("key").agg(F.min(by).alias("_l"), F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("key", F.col("_l.rep").alias("lead"), F.col("_l.root").alias("lead_root"))
-            lead = cut(lead, "lead")
-            pairs = here.join(lead, "key").where("rep <> lead and root <> lead_root" if turn else "rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-        else:
-            several = here.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("key")
-            open_ = cut(here.join(several, "key"), "open")
-            other = open_.select("key", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"))
-            pairs = open_.join(other, "key").where((F.col("root") != F.col("other")) & sizes_fit & ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("rep") > F.col("a"))))).select("a", F.col("rep").alias("b")).distinct()
-        if _empty(pairs := cut(pairs, "pairs")):
-            break
-        found = verified(pairs, str(turn))
-        drop(pairs)
-        if _empty(found) and turn:
-            continue
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        if turn == 0 and _empty(roots):
-            roots = None
-
-    member = classes.withColumnRenamed("rep", "node")
-    if roots is not None:
-        member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        member = member.withColumn("root", F.col("node"))
+    first = classes.select(F.col("rep").alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in ("n", "d1", "d2")])
+    reps = own.join(first, "doc_id").where("n = _n and d1 = _d1 and d2 = _d2").dropDuplicates(["doc_id"])
+    reps = cut(reps.select(F.col("doc_id").alias("rep"), "bands", "sig"), "reps")
+    rows = reps.select("rep", F.explode("bands").alias("key"))
+    lead = cut(rows.groupBy("key").agg(F.count("*").alias("_c"), F.min("rep").alias("lead")).where("_c > 1").select("key", "lead"), "leads")
+    buckets = cut(rows.join(lead, "key"), "buckets")
+    drop(lead)
+    pairs = buckets.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    likely = cut(_likeness(_with_both(pairs, reps, "sig"), "sig", percent), "likely")
+    drop(reps)
+
+    ends = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
+    sets = cut(_sets(docs.join(ends, "doc_id", "left_semi"), shingle).dropDuplicates(["rep"]), "sets")
+    links = cut(_likeness(_with_both(likely, sets, "elements"), "set", percent), "links")
+    drop(likely), drop(sets)
+    roots = components(links)
+
+    # Buckets that still hold several groups.
+    grouped = cut(buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "grouped")
+    several = grouped.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("key")
+    open_ = cut(grouped.join(several, "key").select("rep", "root").distinct(), "open")
+    drop(buckets), drop(grouped)
+    if not _empty(open_):
+        sets = _sets(docs.join(open_.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), shingle).dropDuplicates(["rep"])
+        sets = cut(sets.join(open_, "rep"), "open-sets")
+        more = cut(_likeness(_with_both(cut(prefix_pairs(sets, percent), "pairs"), sets, "elements"), "set", percent), "more-links")
+        drop(sets)
+        if not _empty(more):
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    member = classes.withColumnRenamed("rep", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     member = cut(member.select(*[F.col(c).alias(f"_{c}") for c in ("n", "d1", "d2")], "root"), "members")
     out = sig.select("doc_id", "n", "d1", "d2").join(member, (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
