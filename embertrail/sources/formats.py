@@ -1,0 +1,176 @@
+"""What a file is and which field holds its time: driver-side, from the first bytes and lines."""
+
+from __future__ import annotations
+
+import json
+import re
+from dataclasses import dataclass
+from pathlib import Path
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .readers import unpacked
+
+# Signatures, extensions, marker texts and time field names.
+EVTX_MAGIC, SQLITE_MAGIC = b"ElfFile", b"SQLite format 3\x00"
+EXTENSIONS = {".evtx": "evtx", ".json": "json", ".jsonl": "json", ".ndjson": "json", ".xml": "xml", ".csv": "csv", ".tsv": "csv", ".log": "auditd"}
+EVTXTRACT_MARKERS = ["Found at offset", "EVTXtract", "<evtxtract", "Record number"]
+TIME_NAMES = ["SystemTime", "UtcTime", "TimeCreated", "@timestamp", "timestamp", "_time", "EventTime", "Timestamp", "time", "datetime"]
+SAMPLE_BYTES, SAMPLE_LINES = 64 * 1024, 20
+_ISO = re.compile(r"^\d{4}[-/]\d{2}[-/]\d{2}([T ]\d{2}:\d{2}(:\d{2})?)?")
+_US = re.compile(r"^\d{1,2}/\d{1,2}/\d{4}[ T]\d{1,2}:\d{2}")
+_SYSLOG = re.compile(r"^[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}")
+
+
+@dataclass
+class Detected:
+    format: str
+    confidence: str  # high, medium, low
+    details: str = ""
+    time_field: str | None = None
+
+
+def looks_like_time(v: object) -> bool:
+    """Epoch seconds or milliseconds, Windows file times, and date texts."""
+    if isinstance(v, bool) or v is None:
+        return False
+    if isinstance(v, (int, float)):
+        return 946_684_800 <= v <= 4_102_444_800 or 946_684_800_000 <= v <= 4_102_444_800_000 or 116_444_736_000_000_000 <= v <= 160_000_000_000_000_000
+    text = str(v).strip()
+    return bool(_ISO.match(text) or _US.match(text) or _SYSLOG.match(text) or re.fullmatch(r"\d{10,13}(\.\d+)?|\d{18}", text))
+
+
+def looks_like_time_column(c: Column) -> Column:
+    """The same for a text column."""
+    t = F.trim(c)
+    return F.coalesce(t.rlike(f"{_ISO.pattern}|{_US.pattern}|{_SYSLOG.pattern}|^(\\d{{10,13}}(\\.\\d+)?|\\d{{18}})$"), F.lit(False))
+
+
+def time_score(name: str) -> int:
+    low = name.lower()
+    if name in TIME_NAMES:
+        return 100
+    for score, words, but in ((90, ["timestamp"], ""), (80, ["time"], "timeout"), (70, ["date"], "update")):
+        if any(w in low for w in words) and not (but and but in low):
+            return score
+    return 60 if low in ("ts", "dt") else 50 if "created" in low else 40 if "when" in low else 0
+
+
+def time_score_column(name: Column) -> Column:
+    low = F.lower(name)
+    out = F.when(name.isin(TIME_NAMES), 100).when(low.contains("timestamp"), 90).when(low.contains("time") & ~low.contains("timeout"), 80)
+    out = out.when(low.contains("date") & ~low.contains("update"), 70).when(low.isin("ts", "dt"), 60)
+    return out.when(low.contains("created"), 50).when(low.contains("when"), 40).otherwise(0)
+
+
+def time_field(event: dict) -> str | None:
+    """A known name that looks like a time, else the best name that does; nested events are looked into one level."""
+    flat = dict(event)
+    for v in event.values():
+        if isinstance(v, dict):
+            flat = {**v, **flat}
+    good = [k for k, v in flat.items() if looks_like_time(v)]
+    for n in TIME_NAMES:
+        if n in good:
+            return n
+    best = max(good, key=time_score, default=None)
+    return best if best is not None and time_score(best) > 0 else None
+
+
+def _first_events(text: str) -> list[dict]:
+    text = text.lstrip("﻿ \t\r\n")
+    if text.startswith("["):
+        out, decoder, at = [], json.JSONDecoder(), 1
+        while len(out) < SAMPLE_LINES:
+            at = re.compile(r"[\s,]*").match(text, at).end()  # type: ignore[union-attr]
+            try:
+                got, at = decoder.raw_decode(text, at)
+            except ValueError:
+                break
+            out.append(got)
+        return [e for e in out if isinstance(e, dict)]
+    out = []
+    for line in text.split("\n")[:SAMPLE_LINES]:
+        try:
+            got = json.loads(line)
+        except ValueError:
+            continue
+        if isinstance(got, dict):
+            out.append(got)
+    return out
+
+
+def _json(text: str) -> Detected:
+    events = _first_events(text)
+    fmt = "json_array" if text.lstrip().startswith("[") else "json"
+    if not events:
+        return Detected(fmt, "low", "no complete object in the sample")
+    e = events[0]
+    time = time_field(e)
+    if isinstance(e.get("Event"), dict) and "System" in e["Event"]:
+        return Detected(fmt, "high", "nested Windows events", "SystemTime")
+    if {"EventID", "Channel"} <= e.keys():
+        return Detected(fmt, "high", "flat Windows events", time)
+    if "winlog" in e or {"@timestamp", "agent"} <= e.keys():
+        return Detected(fmt, "high", "events of the Elastic schema", "@timestamp")
+    if e.get("type") in ("SYSCALL", "EXECVE", "PATH", "CWD", "PROCTITLE", "USER_AUTH", "USER_CMD"):
+        return Detected(fmt, "high", "audit events", time)
+    if len({"Image", "CommandLine", "ProcessGuid", "UtcTime", "ParentImage", "Hashes"} & e.keys()) >= 3:
+        return Detected(fmt, "high", "process telemetry", time)
+    return Detected(fmt, "medium", "generic objects", time)
+
+
+def detect_bytes(name: str, data: bytes) -> Detected:
+    if data.startswith(EVTX_MAGIC):
+        return Detected("evtx", "high", "signature", "SystemTime")
+    if data.startswith(SQLITE_MAGIC):
+        return Detected("db", "high", "signature")
+    text = data[:SAMPLE_BYTES].decode("utf-8", "replace").lstrip("﻿")
+    lines = [x for x in text.split("\n")[:SAMPLE_LINES] if x.strip()]
+    start = text.lstrip()[:1]
+    by_name = EXTENSIONS.get(Path(name).suffix.lower())
+    if not lines:
+        return Detected(by_name or "unknown", "low", "empty")
+    if start in ("{", "["):
+        return _json(text)
+    audit = sum("type=" in x and "msg=audit(" in x for x in lines)
+    syslog = sum(bool(_SYSLOG.match(x)) and "<Event>" in x for x in lines)
+    markers = sum(m in text for m in EVTXTRACT_MARKERS)
+    if start == "<":
+        if markers >= 2:
+            return Detected("evtxtract", "high", "markers", "SystemTime")
+        if "<Event" in text:
+            return Detected("xml", "high", "event elements", "SystemTime")
+        return Detected("xml", "medium", "markup")
+    if audit:
+        return Detected("auditd", "high" if audit > 1 else "medium", f"{audit} lines", "timestamp")
+    if syslog:
+        return Detected("sysmon_linux", "high" if syslog > 1 else "medium", f"{syslog} lines", "UtcTime")
+    if markers >= 2:
+        return Detected("evtxtract", "medium", "markers", "SystemTime")
+    commas = [x.count(",") for x in lines[:5]]
+    if len(commas) > 1 and commas[0] and min(commas) >= commas[0]:
+        head = [h.strip().strip('"') for h in lines[0].split(",")]
+        row = dict(zip(head, [v.strip().strip('"') for v in lines[1].split(",")]))
+        return Detected("csv", "high" if {"EventID", "Channel"} & set(head) else "medium", "commas", time_field(row))
+    return Detected(by_name, "low", "extension") if by_name else Detected("unknown", "low")
+
+
+def detect(path: str) -> Detected:
+    """The format of a local file; a compressed one is looked into."""
+    if re.search(r"\.(gz|bz2|zip)$", path.lower()):
+        inner = re.sub(r"\.(gz|bz2|zip)$", "", path, flags=re.IGNORECASE)
+        return detect_bytes(inner, unpacked(path, Path(path).read_bytes()))
+    with open(path, "rb") as f:
+        return detect_bytes(path, f.read(SAMPLE_BYTES))
+
+
+def detect_batch(paths: list[str]) -> Detected:
+    """From the first three files: the most confident answer; two that agree lift medium to high."""
+    found = [detect(p) for p in paths[:3]]
+    order = {"high": 0, "medium": 1, "low": 2}
+    best = min(found, key=lambda d: order[d.confidence])
+    if best.confidence == "medium" and sum(d.format == best.format for d in found) > 1:
+        best.confidence = "high"
+    return best
