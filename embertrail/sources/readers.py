@@ -57,7 +57,8 @@ def jsonl(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", *
 def json_array(spark: SparkSession, path: str | list[str], **_: object) -> DataFrame:
     """Arrays of objects; members that are no object are skipped."""
     df = spark.read.option("recursiveFileLookup", "true").option("multiLine", "true").option("singleVariantColumn", "v").json(path)
-    rows = df.select(_file(), F.col("v").cast("string").alias("raw"))
+    members = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    rows = df.select(_file(), F.explode(members).alias("m")).select("source_file", F.to_json("m").alias("raw"))
     return rows.where(F.col("raw").startswith("{"))
 
 
