@@ -55,7 +55,7 @@ def _grams(sym: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
     out = [mix(sym + _K[1])]
     for n in range(2, order + 1):
         prev = np.zeros_like(sym)
-        prev[n - 1 :] = sym[: len(sym) - n + 1]
+        prev[n - 1 :] = sym[: max(0, len(sym) - n + 1)]
         out.append(mix(out[-1] + prev * _K[n - 1]))
     return out
 
@@ -144,7 +144,7 @@ def build(texts: list[tuple[str, str]]) -> Model:
         kept += [(lang, t) for i, t in enumerate(some) if i % 4 == 3] or [(lang, t) for t in some]
         words: Counter = Counter(w for t in fit for w in t.lower().split() if not w.isascii() or any(map(str.isalpha, w)))
         tables.append(_one_language(words or Counter({"a": 1})))
-    alphabet = 1 + len({c for t in texts for c in t[1].lower()})
+    alphabet = 1 + len({c for t in texts for c in t[1].lower() if not c.isspace()})
     model.base = np.full(len(langs), 1.0 / alphabet)
     for n in range(ORDER):
         for keys_at, values_at, store, vals, other in ((0, 1, model.grams, model.probs, 0.0), (2, 3, model.ctxs, model.lams, 1.0)):
