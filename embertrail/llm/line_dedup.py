@@ -2,13 +2,14 @@
 
 A gram is the shortest run of lines from a line on that holds ``gram_words`` words; a window is the shortest run that
 holds ``window_words``. Every window selects the least hash of the grams inside it, so any repeated run of lines of
-``window_words`` words or more shares a fingerprint wherever it stands, and a long line is a gram by itself. The first
-occurrence of a fingerprint in the corpus (by doc_id, then line) is joined to the later ones, the match is extended line
-by line both ways, and the lines of the later run are deleted. A fingerprint carries the hashes of the lines within two
-windows on either side; the fingerprints along a run lie closer than that, so their extensions cover the whole run.
+``window_words`` words or more shares a fingerprint wherever it stands, and a long line is a gram by itself.
 
-A fingerprint meets its first occurrence only, not every other, so rows stay proportional to the input however often a
-passage repeats; first occurrences come from a pre-aggregated minimum.
+Positions are joined by content: a fingerprint stands for its gram, and for the gram extended line by line to the left
+and to the right as far as two windows; each of these has a hash of its own. Where such a hash occurs earlier in the
+corpus (by doc_id, then line), the match reaches that far, and the lines of the later run are deleted. The fingerprints
+along a run lie closer than two windows, so their extensions cover the whole run, even if different earlier documents
+hold different parts of it. A hash meets its first occurrence only, not every other, so rows stay proportional to the
+input however often a passage repeats; first occurrences come from a pre-aggregated minimum.
 
 Defined cases: lines are split at line feeds and compared byte for byte; lines without a word count for nothing and
 stay. A null text stays null, an empty one empty; a document whose lines all repeat gets an empty text. Rows of a null
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,13 +40,11 @@ def _lines(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, gram_words: int, window_words: int) -> DataFrame:
-    """gram, doc_id, pos, size, words, and the lines to the left and right with their running word counts."""
-    lists = pa.list_(pa.int64())
+    """key, doc_id, lo, hi: every selected gram and its extensions, lines lo to hi (exclusive) among those with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = column(b, "doc_id").to_pylist()
-            out: list[tuple] = []
             for s in slices(column(b, "text")):
                 ls, le, words, before = _lines(s)
                 h = span_hashes(s.flat, ls, le)
@@ -53,55 +52,53 @@ def fingerprints(docs: DataFrame, gram_words: int, window_words: int) -> DataFra
                 poly = np.zeros(len(h) + 1, np.uint64)
                 np.cumsum(h * power[: len(h)], out=poly[1:])
                 cum = np.concatenate([[0], np.cumsum(words)])
-                signed = h.view(np.int64)
+                found: list[tuple[np.ndarray, np.ndarray, int, int]] = []  # begins, ends, first line of the gram, text
+
+                def key(begin: np.ndarray, end: np.ndarray, gram: np.ndarray) -> np.ndarray:
+                    content = (poly[end] - poly[begin]) * inverse[begin]
+                    return mix(mix(content + (end - begin).astype(np.uint64)) + (gram - begin).astype(np.uint64))
+
                 for d in range(s.n):
                     a, z = int(before[d]), int(before[d + 1])
                     if cum[z] - cum[a] < gram_words or ids[s.first + d] is None:
                         continue
                     own = cum[a : z + 1]
                     ends = a + np.searchsorted(own, own[:-1] + gram_words)
-                    n = int((ends <= z).sum())  # the grams that lie within the text
-                    at = np.arange(a, a + n)
-                    ends = ends[:n]
-                    key = mix((poly[ends] - poly[at]) * inverse[at] + (ends - at).astype(np.uint64))
+                    ends = ends[ends <= z]  # the grams that lie within the text
+                    at = np.arange(a, a + len(ends))
+                    keys = key(at, ends, at)
                     stop = a + np.searchsorted(own, own[:-1] + window_words)
-                    stop = np.minimum(stop[stop <= z], z) if (stop <= z).any() else np.array([z])
-                    picked = set()
-                    for i, e in enumerate(stop.tolist()):
-                        last = int(np.searchsorted(ends, e, "right"))
-                        picked.add(i + int(key[i:last].argmin()) if last - i > 1 else i)
-                    for i in picked:
+                    stop = stop[stop <= z] if (stop <= z).any() else np.array([z])
+                    last = np.searchsorted(ends, stop, "right")
+                    for i in {i + int(keys[i:j].argmin()) for i, j in enumerate(last.tolist())}:
                         lo, hi = a + i, int(ends[i])
                         left = max(a, int(np.searchsorted(cum, cum[lo] - 2 * window_words, "right")) - 1)
                         right = min(z, int(np.searchsorted(cum, cum[hi] + 2 * window_words)))
-                        out.append((
-                            int(key[i].astype(np.int64)), ids[s.first + d], lo - a, hi - lo,
-                            signed[left:lo][::-1], cum[lo] - cum[left:lo][::-1], signed[hi:right], cum[hi + 1 : right + 1] - cum[hi],
-                        ))
-            cols = list(zip(*out)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [lists] * 4)], ["gram", "doc_id", "pos", "size", "left", "left_words", "right", "right_words"])
-
-    return docs.mapInArrow(run, "gram long, doc_id long, pos long, size long, left array<bigint>, left_words array<bigint>, right array<bigint>, right_words array<bigint>")
-
-
-def _same(x: Column, y: Column) -> Column:
-    """Number of leading elements in which two arrays agree."""
-    wrong = F.array_position(F.zip_with(x, y, lambda a, b: F.coalesce(a == b, F.lit(False))), False)
-    return F.when(wrong > 0, wrong - 1).otherwise(F.size(x)).cast("long")
+                        begin = np.concatenate([np.arange(left, lo + 1), np.full(right - hi, lo)])
+                        end = np.concatenate([np.full(lo + 1 - left, hi), np.arange(hi + 1, right + 1)])
+                        found.append((begin, end, lo, d))
+                if not found:
+                    continue
+                n = [len(x[0]) for x in found]
+                begin, end = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+                gram = np.repeat([x[2] for x in found], n)
+                doc = np.repeat([x[3] for x in found], n)
+                first = before[:-1][doc]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key(begin, end, gram).view(np.int64)), pa.array(np.array([x if x is not None else 0 for x in ids], np.int64)[s.first + doc]), pa.array((begin - first).astype(np.int32)), pa.array((end - first).astype(np.int32))],
+                    ["key", "doc_id", "lo", "hi"],
+                )
+
+    return docs.mapInArrow(run, "key long, doc_id long, lo int, hi int")
 
 
 def repeated_runs(docs: DataFrame, gram_words: int = 25, window_words: int = 50) -> DataFrame:
     """doc_id, lo, hi (lines with a word, hi exclusive), first_doc: the later copies of repeated runs."""
     prints = cut(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), gram_words, window_words), "fingerprints")
-    often = cut(prints.groupBy("gram").agg(F.count("*").alias("_c"), F.min("doc_id").alias("_d")).where("_c > 1").select("gram", "_d"), "repeated")
-    seen = cut(prints.join(often, "gram"), "occurrences")
-    first = seen.where("doc_id = _d").groupBy("gram").agg(F.min(F.struct("pos", "left", "right")).alias("_f"))
-    first = cut(first.select("gram", F.col("_f.pos").alias("pos0"), F.col("_f.left").alias("left0"), F.col("_f.right").alias("right0")), "first")
-    later = seen.join(first, "gram").where("doc_id <> _d or pos <> pos0")
-    later = later.withColumn("_l", _same(F.col("left"), F.col("left0"))).withColumn("_r", _same(F.col("right"), F.col("right0")))
-    # Within one document a run must not reach back into the run that it repeats.
-    lo = F.when(F.col("doc_id") == F.col("_d"), F.greatest(F.col("pos") - F.col("_l"), F.col("pos0") + F.col("size"))).otherwise(F.col("pos") - F.col("_l"))
-    return later.select("doc_id", F.least(lo, F.col("pos")).alias("lo"), (F.col("pos") + F.col("size") + F.col("_r")).alias("hi"), F.col("_d").alias("first_doc"))
+    first = prints.groupBy("key").agg(F.count("*").alias("_c"), F.min(F.struct("doc_id", "lo")).alias("_f")).where("_c > 1")
+    first = cut(first.select("key", F.col("_f.doc_id").alias("first_doc"), F.col("_f.lo").alias("_lo")), "first")
+    later = prints.join(first.hint("merge"), "key").where("doc_id <> first_doc or lo <> _lo")
+    return later.select("doc_id", "lo", "hi", "first_doc")
 
 
 def remove_repeats(docs: DataFrame, gram_words: int = 25, window_words: int = 50) -> DataFrame:
@@ -109,7 +106,8 @@ def remove_repeats(docs: DataFrame, gram_words: int = 25, window_words: int = 50
     runs = repeated_runs(docs, gram_words, window_words).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("_runs"))
     runs = cut(runs.select(F.col("doc_id").alias("_id"), F.col("_runs.lo").alias("_lo"), F.col("_runs.hi").alias("_hi")), "runs")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*names).join(runs, docs["doc_id"].cast("long") == runs["_id"], "left").drop("_id")
+    # Texts are dealt by doc_id at every size: a broadcast of the runs would be bounded by nothing.
+    joined = docs.select(*names).join(runs.hint("merge"), docs["doc_id"].cast("long") == runs["_id"], "left").drop("_id")
     schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
