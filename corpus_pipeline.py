@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
     found = near_dup.deduplicate(docs, shingle=5, percent=80)
     gone = cut(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return _documents(docs.join(gone, "doc_id", "left_anti"))
+    return _documents(docs.join(gone.hint("merge"), "doc_id", "left_anti"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     per = cut(per.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.expr("_t div _n").alias("_taken")).where("_taken > 0"), "taken")
     own = docs.select(*COLUMNS, mixing.word_count(F.col("text")).alias("_w"))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_w") == F.col("_size"))
-    copies = own.join(per, on).withColumn("_k", F.explode(F.expr("sequence(0L, (_taken - 1) div _size)")))
+    copies = own.join(per.hint("merge"), on).withColumn("_k", F.explode(F.expr("sequence(0L, (_taken - 1) div _size)")))
     part = F.col("_taken") - F.col("_k") * F.col("_size")
     text = F.when(part >= F.col("_size"), F.col("text")).otherwise(mixing.word_slice(F.col("text"), part))
     return _documents(copies.withColumn("text", text))
