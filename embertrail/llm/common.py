@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def cut(df: DataFrame, what: str, bucket: int = 0) -> DataFrame:
+def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again, so that a lost executor costs one stage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/embertrail-{what}-{uuid.uuid4().hex}"

@@ -181,7 +181,7 @@ class Cache:
         self.cost = np.zeros((0, len(self.model.langs)), np.float32)
         self.n = np.zeros(0, np.float32)
 
-    def get(self, hashes: np.ndarray, word: list | np.ndarray, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def get(self, hashes: np.ndarray, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         u, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > self.size:
             self.clear()
@@ -219,7 +219,7 @@ def entropies(model: Model, texts: pa.Array, cache: Cache | None = None) -> tupl
         letters[s.first : s.first + s.n] = has
         if not len(starts):
             continue
-        cost, n = cache.get(span_hashes(s.flat, starts, ends), None, s.flat, starts, ends)
+        cost, n = cache.get(span_hashes(s.flat, starts, ends), s.flat, starts, ends)
         full = np.flatnonzero(before[1:] > before[:-1])
         total = np.add.reduceat(n.astype(float), before[full])
         sums = np.add.reduceat(cost.astype(float), before[full], axis=0)

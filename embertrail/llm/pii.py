@@ -187,7 +187,7 @@ def replace(docs: DataFrame, key: str = "embertrail") -> DataFrame:
     given = cut(assign(found.select("kind", "value").distinct(), key), "given")
     per = found.join(given, ["kind", "value"]).groupBy("doc_id", "_h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "value"), "surrogate"))).alias("_map"))
     per = cut(per.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"), "_map"), "maps")
-    joined = docs.withColumn("_h", F.xxhash64("text")).join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
+    joined = docs.withColumn("_h", F.xxhash64("text")).join(per.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
 
     def new(m: Column) -> Column:
         person = F.array_join(F.transform(parts(m), lambda p: F.coalesce(F.col("_map")[F.concat_ws(":", p["kind"], p["value"])], p["value"])), " ")
