@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,7 +53,7 @@ class Detections:
         return self.counts().join(rows.groupBy("rule_idx").agg(F.collect_list("_row").alias("matches")), "rule_idx")
 
 
-def _hits(df: DataFrame, statements: list[tuple[int, int, object]], wide: int) -> Column | DataFrame:
+def _hits(df: DataFrame, statements: list[tuple[int, int, object]], wide: int) -> DataFrame:
     """rule_idx, query_idx and all columns, for the rows of df that match; statements: rule, query, tree."""
     fields = {f.name.lower(): f for f in df.schema.fields}
     used = [fields[n.lower()] for n in dict.fromkeys(n for _, _, t in statements for n in P.names(t)) if n.lower() in fields]
