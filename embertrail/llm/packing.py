@@ -35,31 +35,71 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids of whole texts from the ids of their distinct words; the words seen last are kept, emptied beyond size."""
+    """Ids of whole texts from the ids of their distinct words. Beyond size, the words seen in one slice only are forgotten."""
 
-    def __init__(self, path: str, size: int = 400_000):
+    def __init__(self, path: str, size: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.between = self.tok.token_to_id(_SEPARATOR)
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        for token, i in self.tok.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.size = size
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.start, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.start, self.n, self.hits = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
 
-    def words(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for i in range(0, len(texts), 512):
-            part = texts[i : i + 512]
-            if any("<|" in w for w in part):
-                out += [np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32) for w in part]
-                continue
-            ids = np.array(self.tok.encode(_SEPARATOR.join(part), add_special_tokens=False).ids, np.uint32)
-            out += [x[1:] if j else x for j, x in enumerate(np.split(ids, np.flatnonzero(ids == self.between)))]
-        return out
+    def forget(self) -> None:
+        keep = self.hits > 1
+        if keep.mean() > 0.5:
+            keep[:] = False
+        self.keys, self.start, self.n = self.keys[keep], self.start[keep], self.n[keep]
+        self.hits = np.zeros(len(self.keys), np.int64)
+        done = np.cumsum(self.n)
+        self.used = int(done[-1]) if len(done) else 0
+        pool = self.pool[np.repeat(self.start - (done - self.n), self.n) + np.arange(self.used)]
+        self.pool = np.zeros(max(1 << 20, 2 * self.used), np.uint32)
+        self.pool[: self.used] = pool
+        self.start = done - self.n
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words, end to end, and how many each has."""
+        # Letters, or letters and one mark, are one or two runs, and every run ends in a token that says so: such words
+        # are encoded joined by spaces. Others are joined by a special token, but those that may hold one stand alone.
+        kinds = np.fromiter((1 if (x := w.lower()).isalpha() else 2 if x[-1] in ".,:;!?" and x[:-1].isalpha() else 0 for w in texts), np.int64, len(texts))
+        n, parts, order = np.zeros(len(texts), np.int64), [], []
+        plain, other = np.flatnonzero(kinds > 0), np.flatnonzero(kinds == 0)
+        for i in range(0, len(plain), 4096):
+            at = plain[i : i + 4096]
+            ids = self._encode(" ".join([texts[k] for k in at.tolist()]))
+            stops = np.flatnonzero(self.ends[ids])[np.cumsum(kinds[at]) - 1] + 1
+            n[at] = np.diff(stops, prepend=0)
+            parts.append(ids)
+            order.append(at)
+        for i in range(0, len(other), 1024):
+            at = other[i : i + 1024]
+            own = [texts[k] for k in at.tolist()]
+            if any("<|" in w for w in own):
+                each = [self._encode(w) for w in own]
+                n[at] = [len(x) for x in each]
+                parts.append(np.concatenate(each))
+            else:
+                ids = self._encode(_SEPARATOR.join(own))
+                cuts = np.flatnonzero(ids == self.between)
+                n[at] = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+                parts.append(np.delete(ids, cuts))
+            order.append(at)
+        if not parts:
+            return np.zeros(0, np.uint32), n
+        flat, at = np.concatenate(parts), np.concatenate(order)
+        start = np.empty(len(texts), np.int64)
+        start[at] = np.cumsum(n[at]) - n[at]
+        done = np.cumsum(n)
+        return flat[np.repeat(start - (done - n), n) + np.arange(len(flat))], n
 
     def slice_ids(self, s) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice without end ids, and the number of them before each text."""
@@ -68,7 +108,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(s.n + 1, np.int64)
         u, first, back = np.unique(span_hashes(s.flat, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > self.size:
-            self.clear()
+            self.forget()
         i = np.searchsorted(self.keys, u)
         hit = np.zeros(len(u), bool)
         inside = i < len(self.keys)
@@ -76,28 +116,38 @@ class Encoder:
         new = np.flatnonzero(~hit)
         if len(new):
             data = s.flat.tobytes()
-            ids = self.words([data[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.concatenate(ids)
+            flat, n = self.words([data[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
             self.pool[self.used : self.used + len(flat)] = flat
             self.keys = np.insert(self.keys, i[new], u[new])
             self.start = np.insert(self.start, i[new], self.used + np.cumsum(n) - n)
             self.n = np.insert(self.n, i[new], n)
+            self.hits = np.insert(self.hits, i[new], 0)
             self.used += len(flat)
             i = np.searchsorted(self.keys, u)
+        self.hits[i] += 1
         n, at = self.n[i][back], self.start[i][back]
         done = np.cumsum(n)
         gather = np.repeat(at - (done - n), n) + np.arange(int(done[-1]))
         return self.pool[gather], np.concatenate([[0], done])[before]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker: the words it knows serve the worker's next tasks too."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: every document cut at each length ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(path)
         for b in batches:
             ids = column(b, "doc_id").to_pylist()
             out: list[tuple] = []
