@@ -85,13 +85,18 @@ def written(sk: Column) -> Column:
     return F.array_join(F.transform(sk, lambda x: F.lpad(F.lower(F.hex(x)), 14, "0")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal bins among the bins in use, 0 to 1."""
-    bins = lambda s: F.transform(s, lambda x: F.shiftright(x, 48))
+def likeness(a: Column, b: Column, low: int = 48) -> Column:
+    """Share of equal bins among the bins in use, 0 to 1; low: bits below the bin."""
+    bins = lambda s: F.transform(s, lambda x: F.shiftright(x, low))
     used = F.size(F.array_union(bins(a), bins(b)))
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used)
 
 
+def compact(sk: Column) -> Column:
+    """A sketch of four bytes a bin, 24 of its bits below the bin: what travels to the document before."""
+    return F.transform(sk, lambda x: F.shiftright(x, 24).cast("int"))
+
+
 def successors(docs: DataFrame) -> DataFrame:
     """doc_id, next_id in ascending order of distinct ids, the last followed by the first; in buckets of ids."""
     ids = cut(docs.where("doc_id is not null").select("doc_id").distinct(), "ids")
@@ -115,19 +120,22 @@ def with_edits(docs: DataFrame, k: int = K, bins: int = BINS) -> DataFrame:
     nexts = cut(successors(docs).join(known.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows")), "doc_id"), "next")
     if nexts.where("rows > 1").take(1):
         known = known.groupBy("doc_id").agg(F.min("text").alias("text"))
-    # What each text hands to the one before it: as many code points as that one replaces.
-    given = known.join(nexts.select(F.col("doc_id").alias("to"), F.col("next_id").alias("doc_id"), "n"), "doc_id")
-    given = given.select(F.col("to").alias("doc_id"), F.expr("substring(text, 1, cast(n div 2 as int))").alias("_tail"))
-    both = known.join(given, "doc_id")
+    # What each text hands to the one before it: as many code points as that one replaces, and its own sketch. Texts
+    # are dealt by doc_id once, for both sides of the second join; sketches are made again rather than moved.
+    given = known.join(nexts.select(F.col("doc_id").alias("to"), F.col("next_id").alias("doc_id"), "n").hint("merge"), "doc_id")
+    given = given.select(F.col("to").alias("doc_id"), F.expr("substring(text, 1, cast(n div 2 as int))").alias("_tail"), compact(sketch(F.col("text"), k, bins)).alias("_next"))
+    both = known.join(given.hint("merge"), "doc_id")
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 2 as int))"), F.col("_tail"))
-    prints = both.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), sketch(F.col("text"), k, bins).alias("own"), sketch(edited, k, bins).alias("edit"))
-    prints = cut(prints, "sketches")
-    after = prints.select(F.col("doc_id").alias("next_id"), F.col("own").alias("next_own"))
-    out = prints.join(nexts.select("doc_id", "next_id"), "doc_id").join(after, "next_id")
-    out = out.select(
-        "doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("edit")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edit")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
-    )
+
+    def row(z: Column) -> Column:
+        own, edit = z["own"], z["edit"]
+        return F.struct(
+            written(own).alias("fingerprint"), written(edit).alias("edited_fingerprint"),
+            likeness(own, edit).alias("near_edited"), likeness(compact(own), z["next"], 24).alias("near_next"),
+        )
+
+    made = _let(F.struct(sketch(F.col("text"), k, bins).alias("own"), sketch(edited, k, bins).alias("edit"), F.col("_next").alias("next")), row)
+    out = both.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), F.inline(F.array(made)))
     alone = docs.where("doc_id is null").select("doc_id", n.cast("long").alias("n_chars"), written(sketch(F.col("text"), k, bins)).alias("fingerprint"))
     return out.unionByName(alone, allowMissingColumns=True)
