@@ -25,9 +25,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ranked
+from .common import cut
 
 K, BINS, PIECE = 3, 128, 8
+ROWS = 2048  # documents that meet in one bucket of ids
 _LOW24 = (1 << 24) - 1
 
 
@@ -85,28 +86,26 @@ def written(sk: Column) -> Column:
     return F.array_join(F.transform(sk, lambda x: F.lpad(F.lower(F.hex(x)), 14, "0")), "")
 
 
-def likeness(a: Column, b: Column, low: int = 48) -> Column:
-    """Share of equal bins among the bins in use, 0 to 1; low: bits below the bin."""
-    bins = lambda s: F.transform(s, lambda x: F.shiftright(x, low))
+def likeness(a: Column, b: Column) -> Column:
+    """Share of equal bins among the bins in use, 0 to 1."""
+    bins = lambda s: F.transform(s, lambda x: F.shiftright(x, 48))
     used = F.size(F.array_union(bins(a), bins(b)))
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used)
 
 
-def compact(sk: Column) -> Column:
-    """A sketch of four bytes a bin, 24 of its bits below the bin: what travels to the document before."""
-    return F.transform(sk, lambda x: F.shiftright(x, 24).cast("int"))
+def links(known: DataFrame) -> tuple[DataFrame, Column]:
+    """Buckets of rising ids, ROWS of them on average, and the column that gives a doc_id's bucket.
 
-
-def successors(docs: DataFrame) -> DataFrame:
-    """doc_id, next_id in ascending order of distinct ids, the last followed by the first; in buckets of ids."""
-    ids = cut(docs.where("doc_id is not null").select("doc_id").distinct(), "ids")
-    span = ids.agg(F.min("doc_id").cast("decimal(20,0)").alias("lo"), F.max("doc_id").cast("decimal(20,0)").alias("hi"), F.count("*").alias("n")).first()
-    if not span["n"]:
-        return ids.select("doc_id", F.col("doc_id").alias("next_id"))
-    width = max(1, (int(span["hi"]) - int(span["lo"])) * 4096 // span["n"] + 1)
-    bucket = F.floor(F.col("doc_id") / F.lit(width)).cast("long") if width < 1 << 50 else F.lit(0).cast("long")
-    placed = ranked(ids, [], ["doc_id"], bucket, {"at": "1L"})
-    return placed.select("doc_id", "at").join(placed.select(F.col("doc_id").alias("next_id"), F.pmod(F.col("at") - 1, F.lit(span["n"])).alias("at")), "at").select("doc_id", "next_id")
+    Per bucket: _b, its least id _first, _to, the bucket before it (for the first bucket: the last), and the most _rows
+    of one id.
+    """
+    span = known.agg(F.min("doc_id").cast("decimal(20,0)").alias("lo"), F.max("doc_id").cast("decimal(20,0)").alias("hi"), F.count("*").alias("n")).first()
+    width = max(1, (int(span["hi"] or 0) - int(span["lo"] or 0)) * ROWS // max(1, span["n"]) + 1)
+    bucket = F.coalesce(F.floor(F.col("doc_id") / F.lit(width)).cast("long") if width < 1 << 50 else F.lit(0).cast("long"), F.lit(0).cast("long"))
+    per = known.groupBy("doc_id").agg(F.count("*").alias("_rows")).groupBy(bucket.alias("_b")).agg(F.min("doc_id").alias("_first"), F.max("_rows").alias("_rows"))
+    order = Window.orderBy("_b")
+    last = F.max("_b").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return cut(per.select("_b", "_first", "_rows", F.coalesce(F.lag("_b").over(order), last).alias("_to")), "links"), bucket
 
 
 def with_edits(docs: DataFrame, k: int = K, bins: int = BINS) -> DataFrame:
@@ -117,25 +116,29 @@ def with_edits(docs: DataFrame, k: int = K, bins: int = BINS) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = docs.where("doc_id is not null")
-    nexts = cut(successors(docs).join(known.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows")), "doc_id"), "next")
-    if nexts.where("rows > 1").take(1):
+    ends, bucket = links(known)
+    if ends.where("_rows > 1").take(1):
         known = known.groupBy("doc_id").agg(F.min("text").alias("text"))
-    # What each text hands to the one before it: as many code points as that one replaces, and its own sketch. Texts
-    # are dealt by doc_id once, for both sides of the second join; sketches are made again rather than moved.
-    given = known.join(nexts.select(F.col("doc_id").alias("to"), F.col("next_id").alias("doc_id"), "n").hint("merge"), "doc_id")
-    given = given.select(F.col("to").alias("doc_id"), F.expr("substring(text, 1, cast(n div 2 as int))").alias("_tail"), compact(sketch(F.col("text"), k, bins)).alias("_next"))
-    both = known.join(given.hint("merge"), "doc_id")
+    # Texts are dealt once, by bucket, and meet the next one there. The first of each bucket also goes to the bucket
+    # before it, whose last text has its next one there.
+    dealt = known.withColumn("_b", bucket).repartition("_b")
+    firsts = dealt.join(ends.select("_b", "_first", "_to").hint("shuffle_hash"), "_b").where(F.col("doc_id") <= F.col("_first"))
+    firsts = firsts.select(F.col("_to").alias("_b"), F.struct("text", sketch(F.col("text"), k, bins).alias("own")).alias("_over"))
+    order = Window.partitionBy("_b").orderBy("doc_id")
+    both = dealt.select("_b", "doc_id", "text", sketch(F.col("text"), k, bins).alias("_own"))
+    both = both.select("*", F.lead("text").over(order).alias("_text"), F.lead("_own").over(order).alias("_next")).join(firsts.hint("shuffle_hash"), "_b", "left")
+    both = both.withColumn("_text", F.coalesce("_text", "_over.text")).withColumn("_next", F.coalesce("_next", "_over.own"))
     n = F.length("text")
-    edited = F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 2 as int))"), F.col("_tail"))
+    edited = F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 2 as int))"), F.expr("substring(_text, 1, cast(length(text) div 2 as int))"))
 
     def row(z: Column) -> Column:
         own, edit = z["own"], z["edit"]
         return F.struct(
             written(own).alias("fingerprint"), written(edit).alias("edited_fingerprint"),
-            likeness(own, edit).alias("near_edited"), likeness(compact(own), z["next"], 24).alias("near_next"),
+            likeness(own, edit).alias("near_edited"), likeness(own, z["next"]).alias("near_next"),
         )
 
-    made = _let(F.struct(sketch(F.col("text"), k, bins).alias("own"), sketch(edited, k, bins).alias("edit"), F.col("_next").alias("next")), row)
+    made = _let(F.struct(F.col("_own").alias("own"), sketch(edited, k, bins).alias("edit"), F.col("_next").alias("next")), row)
     out = both.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), F.inline(F.array(made)))
     alone = docs.where("doc_id is null").select("doc_id", n.cast("long").alias("n_chars"), written(sketch(F.col("text"), k, bins)).alias("fingerprint"))
     return out.unionByName(alone, allowMissingColumns=True)
