@@ -13,6 +13,7 @@ doc_id stays null. An empty table gives no piece. Columns beyond doc_id and text
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -70,14 +71,22 @@ class Encoder:
         """The ids of many words, end to end, and how many each has."""
         # Letters, or letters and one mark, are one or two runs, and every run ends in a token that says so: such words
         # are encoded joined by spaces. Others are joined by a special token, but those that may hold one stand alone.
-        kinds = np.fromiter((1 if (x := w.lower()).isalpha() else 2 if x[-1] in ".,:;!?" and x[:-1].isalpha() else 0 for w in texts), np.int64, len(texts))
+        # What counts is the word as the tokenizer sees it: NFC takes some letters apart into a letter and a mark.
+        seen = (unicodedata.normalize("NFC", w).lower() for w in texts)
+        kinds = np.fromiter((1 if x.isalpha() else 2 if x[-1] in ".,:;!?" and x[:-1].isalpha() else 0 for x in seen), np.int64, len(texts))
         n, parts, order = np.zeros(len(texts), np.int64), [], []
         plain, other = np.flatnonzero(kinds > 0), np.flatnonzero(kinds == 0)
         for i in range(0, len(plain), 4096):
             at = plain[i : i + 4096]
-            ids = self._encode(" ".join([texts[k] for k in at.tolist()]))
-            stops = np.flatnonzero(self.ends[ids])[np.cumsum(kinds[at]) - 1] + 1
-            n[at] = np.diff(stops, prepend=0)
+            own = [texts[k] for k in at.tolist()]
+            ids = self._encode(" ".join(own))
+            runs = np.flatnonzero(self.ends[ids])
+            if len(runs) == kinds[at].sum():
+                n[at] = np.diff(runs[np.cumsum(kinds[at]) - 1] + 1, prepend=0)
+            else:
+                each = [self._encode(w) for w in own]
+                n[at] = [len(x) for x in each]
+                ids = np.concatenate(each)
             parts.append(ids)
             order.append(at)
         for i in range(0, len(other), 1024):

@@ -284,6 +284,23 @@ def test_encoder_and_packing(spark):
         assert at <= 4096
 
 
+def test_encoder_with_letters_that_nfc_takes_apart(monkeypatch):
+    parts = [0x9DF, 0x9DC, 0x95C, 0x958, 0xA33, 0xB5C, 0xF43, 0xFB1D, 0xFB2F, 0xFB4E]
+    words = ["one", "হয়", "two", "হয়.", "লড়াই", "सड़क", "שׁלום", "three", *[f"a{chr(c)}b" for c in parts], *[chr(c) for c in parts], "four,", "e\u0301a"]
+    words[1:1] = [f"ha{chr(0x9DF)}", f"sa{chr(0x95C)}ka!", f"{chr(0xFB2F)}b"]
+    enc = packing.Encoder(packing.tokenizer_path())
+    want = [enc.tok.encode(w, add_special_tokens=False).ids for w in words]
+
+    def check():
+        flat, n = enc.words(words)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want and n.sum() == len(flat)
+
+    check()
+    # A word that is taken for plain and is not: the runs of the batch do not add up, so its words are encoded one by one.
+    monkeypatch.setattr(packing.unicodedata, "normalize", lambda form, w: w)
+    check()
+
+
 def test_first_fit_decreasing_against_scan():
     r = random.Random(8)
     for _ in range(50):
