@@ -2,7 +2,8 @@
 
 A gram is the shortest run of lines from a line on that holds ``gram_words`` words; a window is the shortest run that
 holds ``window_words``. Every window selects the least hash of the grams inside it, so any repeated run of lines of
-``window_words`` words or more shares a fingerprint wherever it stands, and a long line is a gram by itself.
+``window_words`` words or more shares a fingerprint wherever it stands, and a long line is a gram by itself. By default
+a window is one gram: every repeated run of ``gram_words`` words or more goes, a single line of as many among them.
 
 Positions are joined by content: a fingerprint stands for its gram, and for the gram extended line by line to the left
 and to the right as far as two windows; each of these has a hash of its own. Where such a hash occurs earlier in the
@@ -29,6 +30,8 @@ from pyspark.sql import types as T
 
 from .common import Slice, _powers, column, cut, mix, slices, span_hashes
 
+GRAM, WINDOW = 6, 6
+
 
 def _lines(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines with a word: start, end, number of words; and how many stand before each text."""
@@ -92,7 +95,7 @@ def fingerprints(docs: DataFrame, gram_words: int, window_words: int) -> DataFra
     return docs.mapInArrow(run, "key long, doc_id long, lo int, hi int")
 
 
-def repeated_runs(docs: DataFrame, gram_words: int = 25, window_words: int = 50) -> DataFrame:
+def repeated_runs(docs: DataFrame, gram_words: int = GRAM, window_words: int = WINDOW) -> DataFrame:
     """doc_id, lo, hi (lines with a word, hi exclusive), first_doc: the later copies of repeated runs."""
     prints = cut(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), gram_words, window_words), "fingerprints")
     first = prints.groupBy("key").agg(F.count("*").alias("_c"), F.min(F.struct("doc_id", "lo")).alias("_f")).where("_c > 1")
@@ -101,7 +104,7 @@ def repeated_runs(docs: DataFrame, gram_words: int = 25, window_words: int = 50)
     return later.select("doc_id", "lo", "hi", "first_doc")
 
 
-def remove_repeats(docs: DataFrame, gram_words: int = 25, window_words: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, gram_words: int = GRAM, window_words: int = WINDOW) -> DataFrame:
     """docs with the later runs deleted from text, and n_lines, n_removed."""
     runs = repeated_runs(docs, gram_words, window_words).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("_runs"))
     runs = cut(runs.select(F.col("doc_id").alias("_id"), F.col("_runs.lo").alias("_lo"), F.col("_runs.hi").alias("_hi")), "runs")

@@ -171,6 +171,21 @@ def test_line_runs(spark):
         assert not any(kept[lines[k]] for k in b)
 
 
+def test_short_line_runs(spark):
+    r = random.Random(4)
+    line = lambda n: " ".join("".join(r.choice("klmnop") for _ in range(5)) for _ in range(n))
+    passages = [[line(n) for n in sizes] for sizes in ([9], [6], [5], [2, 3], [2, 4], [1, 9, 2], [3, 2, 1, 4, 1], [12, 1, 30, 2], [40])]
+    docs = {}
+    for i in range(60):
+        mixed = [[line(r.randint(1, 20))] for _ in range(r.randint(0, 4))] + r.sample(passages, 2)
+        r.shuffle(mixed)
+        docs[i] = "\n".join(x for part in mixed for x in part)
+    docs |= {100: passages[0][0], 101: passages[0][0], 102: passages[2][0]}
+    got = {x.doc_id: x.text for x in line_dedup.remove_repeats(spark.createDataFrame([(i, t) for i, t in docs.items()], "doc_id long, text string")).collect()}
+    for i, bad in brute_lines(docs, line_dedup.GRAM).items():
+        assert [x for x in got[i].split("\n") if x] == [x for k, x in enumerate(docs[i].split("\n")) if k not in bad], i
+
+
 def test_line_edges(spark):
     text = "\n".join(f"this is line number {i} of a passage" for i in range(12))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text + "\nmore"), (3, "start\n" + text + "\n" + text)], "doc_id long, text string")
