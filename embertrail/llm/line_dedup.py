@@ -7,14 +7,15 @@ a window is one gram: every repeated run of ``gram_words`` words or more goes, a
 
 Positions are joined by content: a fingerprint stands for its gram, and for the gram extended line by line to the left
 and to the right as far as two windows; each of these has a hash of its own. Where such a hash occurs earlier in the
-corpus (by doc_id, then line), the match reaches that far, and the lines of the later run are deleted. The fingerprints
+corpus (by doc_id, hash of the text, then line), the match reaches that far, and the lines of the later run are deleted. The fingerprints
 along a run lie closer than two windows, so their extensions cover the whole run, even if different earlier documents
 hold different parts of it. A hash meets its first occurrence only, not every other, so rows stay proportional to the
 input however often a passage repeats; first occurrences come from a pre-aggregated minimum.
 
 Defined cases: lines are split at line feeds and compared byte for byte; lines without a word count for nothing and
 stay. A null text stays null, an empty one empty; a document whose lines all repeat gets an empty text. Rows of a null
-doc_id are returned unchanged. Rows that share a doc_id and a text are one document and keep the same lines.
+doc_id are returned unchanged. Rows that share a doc_id and a text are one document and keep the same lines;
+different texts of one doc_id are documents of their own, in the order of their hashes.
 All columns of the input are returned, n_lines and n_removed (lines with a word) besides.
 """
 
@@ -43,11 +44,12 @@ def _lines(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, gram_words: int, window_words: int) -> DataFrame:
-    """key, doc_id, lo, hi: every selected gram and its extensions, lines lo to hi (exclusive) among those with a word."""
+    """key, doc_id, text_hash, lo, hi: every selected gram and its extensions, lines lo to hi (exclusive) among those with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = column(b, "doc_id").to_pylist()
+            text_hash = column(b, "text_hash").to_numpy()
             for s in slices(column(b, "text")):
                 ls, le, words, before = _lines(s)
                 h = span_hashes(s.flat, ls, le)
@@ -88,29 +90,30 @@ def fingerprints(docs: DataFrame, gram_words: int, window_words: int) -> DataFra
                 doc = np.repeat([x[3] for x in found], n)
                 first = before[:-1][doc]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key(begin, end, gram).view(np.int64)), pa.array(np.array([x if x is not None else 0 for x in ids], np.int64)[s.first + doc]), pa.array((begin - first).astype(np.int32)), pa.array((end - first).astype(np.int32))],
-                    ["key", "doc_id", "lo", "hi"],
+                    [pa.array(key(begin, end, gram).view(np.int64)), pa.array(np.array([x if x is not None else 0 for x in ids], np.int64)[s.first + doc]), pa.array(text_hash[s.first + doc]), pa.array((begin - first).astype(np.int32)), pa.array((end - first).astype(np.int32))],
+                    ["key", "doc_id", "text_hash", "lo", "hi"],
                 )
 
-    return docs.mapInArrow(run, "key long, doc_id long, lo int, hi int")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "key long, doc_id long, text_hash long, lo int, hi int")
 
 
 def repeated_runs(docs: DataFrame, gram_words: int = GRAM, window_words: int = WINDOW) -> DataFrame:
-    """doc_id, lo, hi (lines with a word, hi exclusive), first_doc: the later copies of repeated runs."""
+    """doc_id, text_hash, lo, hi (lines with a word, hi exclusive), first_doc: the later copies of repeated runs."""
     prints = cut(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), gram_words, window_words), "fingerprints")
-    first = prints.groupBy("key").agg(F.count("*").alias("_c"), F.min(F.struct("doc_id", "lo")).alias("_f")).where("_c > 1")
-    first = cut(first.select("key", F.col("_f.doc_id").alias("first_doc"), F.col("_f.lo").alias("_lo")), "first")
-    later = prints.join(first.hint("merge"), "key").where("doc_id <> first_doc or lo <> _lo")
-    return later.select("doc_id", "lo", "hi", "first_doc")
+    first = prints.groupBy("key").agg(F.count("*").alias("_c"), F.min(F.struct("doc_id", "text_hash", "lo")).alias("_f")).where("_c > 1")
+    first = cut(first.select("key", F.col("_f.doc_id").alias("first_doc"), F.col("_f.text_hash").alias("_hash"), F.col("_f.lo").alias("_lo")), "first")
+    later = prints.join(first.hint("merge"), "key").where("doc_id <> first_doc or text_hash <> _hash or lo <> _lo")
+    return later.select("doc_id", "text_hash", "lo", "hi", "first_doc")
 
 
 def remove_repeats(docs: DataFrame, gram_words: int = GRAM, window_words: int = WINDOW) -> DataFrame:
     """docs with the later runs deleted from text, and n_lines, n_removed."""
-    runs = repeated_runs(docs, gram_words, window_words).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("_runs"))
-    runs = cut(runs.select(F.col("doc_id").alias("_id"), F.col("_runs.lo").alias("_lo"), F.col("_runs.hi").alias("_hi")), "runs")
+    runs = repeated_runs(docs, gram_words, window_words).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("_runs"))
+    runs = cut(runs.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("_runs.lo").alias("_lo"), F.col("_runs.hi").alias("_hi")), "runs")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # Texts are dealt by doc_id at every size: a broadcast of the runs would be bounded by nothing.
-    joined = docs.select(*names).join(runs.hint("merge"), docs["doc_id"].cast("long") == runs["_id"], "left").drop("_id")
+    same = (docs["doc_id"].cast("long") == runs["_id"]) & (F.xxhash64(docs["text"]) == runs["_hash"])
+    joined = docs.select(*names).join(runs.hint("merge"), same, "left").drop("_id", "_hash")
     schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

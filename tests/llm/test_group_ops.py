@@ -194,6 +194,14 @@ def test_line_edges(spark):
     assert line_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_lines_of_different_texts_under_one_doc_id(spark):
+    text = "\n".join(f"this is line number {i} of a passage" for i in range(12))
+    other = "\n".join(f"quite another line stands here at {i}" for i in range(20))
+    df = spark.createDataFrame([(1, text), (2, other), (2, "start\n" + text), (2, "start\n" + text), (3, "short")], "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_removed, x.text.strip()) for x in line_dedup.remove_repeats(df).collect())
+    assert got == [(1, 0, text), (2, 0, other), (2, 12, "start"), (2, 12, "start"), (3, 0, "short")]
+
+
 def brute_targets(sizes, share=1.5, repeats=2.0):
     weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
     target, open_ = {}, set(sizes)
