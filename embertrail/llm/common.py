@@ -3,6 +3,8 @@ line hashes straight from Arrow buffers.
 
 A word is a maximal run of characters outside space and U+0009 to U+000D. All six delimiters are single bytes in
 UTF-8, so words, lines and their hashes are computed on the bytes of a whole Arrow batch at once.
+
+In all operators doc_id is an integer column (it is cast to long); text ids must be mapped to integers first.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF97
+_ODD = np.uint64(0xD1342543DE82EF97)
 _state: dict = {}
 
 
@@ -28,9 +31,15 @@ _state: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, a folder of our own if it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a local session (one machine, as in tests) gets a folder of its own; a cluster has none that
+    every executor sees, so there it is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = _state.setdefault("dir", tempfile.mkdtemp(prefix="embertrail-"))
     return where.rstrip("/")
 
@@ -54,6 +63,14 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores before it as long as a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -97,43 +114,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _tables() -> dict:
-    if "byte" not in _state:
-        t = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLD)
-        low = t.copy()
-        low[65:91] = t[97:123]
-        isword = np.ones(256, bool)
-        isword[[32, 9, 10, 11, 12, 13]] = False
-        _state.update(byte=t, low=low, isword=isword)
-    return _state
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i up to n."""
-    have = _state.get("pow")
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            made.append(np.cumprod(x, dtype=np.uint64))
-        if size > 8 * SLICE_BYTES:
-            return made[0], made[1]
-        _state["pow"] = have = (made[0], made[1])
-    return have
-
-
-def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal bytes give equal hashes wherever they stand."""
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_WORD = ~np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_LONG = 256
+
+
+def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; equal bytes give equal hashes wherever they stand.
+
+    Eight bytes at a time are folded into a state that is mixed after each, for all spans at once; spans of more than
+    ``_LONG`` bytes go through xxh3. Different seeds give independent hashes.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    t = _tables()
-    p, inv = _powers(len(flat))
-    c = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum(t["low" if lower else "byte"][flat] * p[: len(flat)], out=c[1:])
-    h = (c[ends] - c[starts]) * inv[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _GOLD)
+    data = np.zeros(len(flat) + 8, np.uint8)
+    data[: len(flat)] = _LOWER[flat] if lower else flat
+    eight = np.ndarray((len(flat) + 1,), "<u8", data, strides=(1,))
+    size = (ends - starts).astype(np.int64)
+    h = mix(size.astype(np.uint64) + np.uint64((2 * seed + 1) * int(_GOLD) % 2**64))
+    todo = np.flatnonzero((size > 0) & (size <= _LONG))
+    at = 0
+    while len(todo):
+        left = size[todo] - at
+        part = eight[starts[todo] + at] & _KEEP[np.minimum(left, 8)]
+        h[todo] = mix(h[todo] ^ (part * _ODD))
+        at += 8
+        todo = todo[left > 8]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], seed)
+    return h
 
 
 @dataclass
@@ -150,7 +161,7 @@ class Slice:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end byte of every word, and for each text the number of words before it."""
-        return self._runs(_tables()["isword"][self.flat])
+        return self._runs(_IS_WORD[self.flat])
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end byte of every line, empty ones too, split at line feeds; and the number before each text."""
