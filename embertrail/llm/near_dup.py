@@ -17,8 +17,10 @@ Leader pairs are first held against their signatures; a pair is discarded if its
 more than six standard deviations of a MinHash estimate. Like the banding this can lose a link with a chance below one
 in a million.
 
+Elements are 64-bit hashes of words mixed into shingles; classes are told apart by 128 bits from two independent hashes.
+
 Defined cases: a text without words, or null, has an empty set, links with nothing and is kept. Rows that share a
-doc_id count as equal ids. A row of null doc_id takes no part: component_id is null and kept is true. Other columns are
+doc_id are one document: what one of their texts links with, all are linked with. A row of null doc_id takes no part: component_id is null and kept is true. Other columns are
 ignored.
 """
 
@@ -44,27 +46,49 @@ def bands_for(percent: int, registers: int = REGISTERS) -> tuple[int, int]:
     return registers // rows, rows
 
 
-def shingle_sets(s: Slice, k: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the k-word shingles of every text of a slice."""
+def _shingle_hashes(s: Slice, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, hashes of the shingles that begin at each word, and the words before each text."""
     starts, ends, before = s.words()
-    h = span_hashes(s.flat, starts, ends, lower=True)
+    h = span_hashes(s.flat, starts, ends, lower=True, seed=seed)
+    g = np.zeros(0, np.uint64)
     if len(h) >= k:
         m = len(h) - k + 1
         g = h[:m] * _K[0]
         for i in range(1, k):
             g = mix(g + h[i : i + m] * _K[i % 5] + np.uint64(i))
-    out = []
-    for a, b in zip(before[:-1].tolist(), before[1:].tolist()):
+    return h, g, before
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """Fewer words than a shingle has: the whole sequence is the one shingle."""
+    x = np.array([len(h)], np.uint64)
+    for w in h:
+        x = mix(x * _K[4] + w)
+    return x
+
+
+def shingle_sets(s: Slice, k: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the k-word shingles of every text of a slice."""
+    h, g, before = _shingle_hashes(s, k, 0)
+    return [np.unique(g[a : b - k + 1]) if b - a >= k else _short(h[a:b]) if b > a else np.zeros(0, np.uint64) for a, b in zip(before[:-1].tolist(), before[1:].tolist())]
+
+
+def digested_sets(s: Slice, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """shingle_sets, and per text two digests of its set: from those hashes, and from hashes independent of them."""
+    h, g, before = _shingle_hashes(s, k, 0)
+    h2, g2, _ = _shingle_hashes(s, k, 1)
+    sets, d1, d2 = [], np.zeros(s.n, np.uint64), np.zeros(s.n, np.uint64)
+    for d, (a, b) in enumerate(zip(before[:-1].tolist(), before[1:].tolist())):
         if b - a >= k:
-            out.append(np.unique(g[a : b - k + 1]))
-        elif b > a:  # fewer words than k: the whole sequence is the one shingle
-            x = np.array([b - a], np.uint64)
-            for w in h[a:b]:
-                x = mix(x * _K[4] + w)
-            out.append(x)
+            x, first = np.unique(g[a : b - k + 1], return_index=True)
+            y = g2[a + first]
+        elif b > a:
+            x, y = _short(h[a:b]), _short(h2[a:b])
         else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            x = y = np.zeros(0, np.uint64)
+        sets.append(x)
+        d1[d], d2[d] = x.sum(dtype=np.uint64), y.sum(dtype=np.uint64)
+    return sets, d1, d2
 
 
 def super_min_hash(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
@@ -108,11 +132,9 @@ def _signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         for b in batches:
             ids = column(b, "doc_id")
             for s in slices(column(b, "text")):
-                sets = shingle_sets(s, shingle)
+                sets, d1, d2 = digested_sets(s, shingle)
                 reg = super_min_hash(sets)
                 n = np.array([len(x) for x in sets])
-                d1 = np.array([int(x.sum(dtype=np.uint64)) if len(x) else 0 for x in sets], np.uint64)
-                d2 = np.array([int(mix(x ^ _K[1]).sum(dtype=np.uint64)) if len(x) else 0 for x in sets], np.uint64)
                 bits = mix(reg.view(np.uint64))
                 keys = np.zeros((s.n, n_bands), np.uint64) + np.arange(n_bands, dtype=np.uint64) * _G
                 for i in range(n_rows):
@@ -194,18 +216,18 @@ def _empty(df: DataFrame) -> bool:
 
 
 def _elements(sets: DataFrame) -> DataFrame:
-    """rep, n, root, e: a row for every element of the sets (rep, root, elements)."""
+    """rep, n, root, sid, e: a row for every element of the sets (rep, root, elements); sid tells sets of one rep apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rep, root, held = (column(b, c) for c in ("rep", "root", "elements"))
+            rep, root, sid, held = (column(b, c) for c in ("rep", "root", "sid", "elements"))
             for i in range(0, b.num_rows, 256):
                 parts = [np.frombuffer(x.as_buffer(), np.int64) for x in held.slice(i, 256)]
                 n = np.array([len(x) for x in parts])
-                of = [np.repeat(c.slice(i, 256).to_numpy(), n) for c in (rep, root)]
-                yield pa.RecordBatch.from_arrays([pa.array(of[0]), pa.array(np.repeat(n, n), pa.int64()), pa.array(of[1]), pa.array(np.concatenate(parts))], ["rep", "n", "root", "e"])
+                of = [np.repeat(c.slice(i, 256).to_numpy(), n) for c in (rep, root, sid)]
+                yield pa.RecordBatch.from_arrays([pa.array(of[0]), pa.array(np.repeat(n, n), pa.int64()), pa.array(of[1]), pa.array(of[2]), pa.array(np.concatenate(parts))], ["rep", "n", "root", "sid", "e"])
 
-    return sets.select("rep", "root", "elements").mapInArrow(run, "rep long, n long, root long, e long")
+    return sets.select("rep", "root", F.xxhash64("elements").alias("sid"), "elements").mapInArrow(run, "rep long, n long, root long, sid long, e long")
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
@@ -214,7 +236,8 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     often = rows.groupBy("e").agg(F.count("*").alias("f"), F.min("root").alias("_x"), F.max("root").alias("_y")).where("f > 1")
     # Elements of one set only come first in its order; they match nothing, so only their number counts.
     common = rows.join(often, "e")
-    own, order = Window.partitionBy("rep"), Window.partitionBy("rep").orderBy("f", "e")
+    own = Window.partitionBy("rep", "sid")
+    order = own.orderBy("f", "e")
     placed = common.select("rep", "n", "root", "e", "_x", "_y", (F.col("n") - F.count("*").over(own) + F.row_number().over(order)).alias("rank"))
     first = cut(placed.where(F.expr(f"rank <= n - (n * {percent} + 99) div 100 + 1 and _x <> _y")).select("rep", "n", "root", "e", "rank"), "prefixes")
     drop(rows)
@@ -224,6 +247,14 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return x.join(y, "e").where(fit).select("a", "b").distinct()
 
 
+def _same_id(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: a doc_id that stands over several sets, and the representatives of their classes."""
+    key = ["n", "d1", "d2"]
+    low, high = (f(F.struct(*key)) for f in (F.min, F.max))
+    several = own.groupBy("doc_id").agg(low.alias("_x"), high.alias("_y")).where("_x <> _y").select("doc_id")
+    return own.join(several, "doc_id").select("doc_id", *key).distinct().join(classes, key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -231,7 +262,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     own = sig.where("n > 0 and doc_id is not null")
     classes = cut(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     first = classes.select(F.col("rep").alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in ("n", "d1", "d2")])
-    reps = own.join(first, "doc_id").where("n = _n and d1 = _d1 and d2 = _d2").dropDuplicates(["doc_id"])
+    reps = own.join(first, "doc_id").where("n = _n and d1 = _d1 and d2 = _d2").dropDuplicates(["doc_id", "d1", "d2"])
     reps = cut(reps.select(F.col("doc_id").alias("rep"), "bands", "sig"), "reps")
     rows = reps.select("rep", F.explode("bands").alias("key"))
     lead = cut(rows.groupBy("key").agg(F.count("*").alias("_c"), F.min("rep").alias("lead")).where("_c > 1").select("key", "lead"), "leads")
@@ -242,8 +273,8 @@ def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     drop(reps)
 
     ends = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(_sets(docs.join(ends, "doc_id", "left_semi"), shingle).dropDuplicates(["rep"]), "sets")
-    links = cut(_likeness(_with_both(likely, sets, "elements"), "set", percent), "links")
+    sets = cut(_sets(docs.join(ends, "doc_id", "left_semi"), shingle).dropDuplicates(["rep", "elements"]), "sets")
+    links = cut(_likeness(_with_both(likely, sets, "elements"), "set", percent).unionByName(_same_id(own, classes)), "links")
     drop(likely), drop(sets)
     roots = components(links)
 
@@ -253,7 +284,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     open_ = cut(grouped.join(several, "key").select("rep", "root").distinct(), "open")
     drop(buckets), drop(grouped)
     if not _empty(open_):
-        sets = _sets(docs.join(open_.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), shingle).dropDuplicates(["rep"])
+        sets = _sets(docs.join(open_.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), shingle).dropDuplicates(["rep", "elements"])
         sets = cut(sets.join(open_, "rep"), "open-sets")
         more = cut(_likeness(_with_both(cut(prefix_pairs(sets, percent), "pairs"), sets, "elements"), "set", percent), "more-links")
         drop(sets)
