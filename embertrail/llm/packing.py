@@ -2,6 +2,7 @@
 
 Texts are encoded with a public tokenizer and closed with an end id. Words repeat, so each distinct word is encoded
 once and the ids of a text are gathered from those of its words (white space never joins two words of this tokenizer).
+Words are known by a 64-bit hash; a worker knows about a million at a time, so two of them meet with a chance below 1e-7.
 A document is cut at every ``length`` ids; the pieces go to random groups of about ``group`` pieces, and each group is
 packed by itself: pieces by falling length, each into the first open sequence with room, which a tournament tree of
 remaining capacities finds in logarithmic time. Only the piece table is shuffled, never ids or texts.
@@ -18,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import column, cut, slices, span_hashes
 
 LENGTH, END, GROUP = 4096, 2, 4096
+PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 _SEPARATOR = "<|startoftext|>"
 
 
@@ -153,10 +154,11 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: every document cut at each length ids."""
+    """doc_id, start, length, ids_crc32, doc_tokens: every document cut at each length ids; row_no counts them in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        done = 0
         for b in batches:
             ids = column(b, "doc_id").to_pylist()
             out: list[tuple] = []
@@ -168,10 +170,11 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
                     for at in range(0, len(own), length):
                         part = own[at : at + length]
                         out.append((ids[s.first + d], at, len(part), zlib.crc32(part.tobytes()), len(own)))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            cols = [*(list(zip(*out)) or [[]] * 5), range(done, done + len(out))]
+            done += len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [*PIECE, "row_no"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*PIECE, "row_no"]))
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -200,13 +203,16 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, group: int = GROUP, seed: int = 5) -> DataFrame:
     """Every piece of docs (doc_id, text) with its sequence_id and offset."""
+    # Pieces are written once, so that row_no, which spreads rows that repeat over the groups, stays as it is.
     parts = cut(pieces(docs, path or tokenizer_path(), length, end), "pieces")
     n_groups = max(1, -(-parts.count() // group))
-    grouped = parts.withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(n_groups)))
+    grouped = parts.withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "row_no"), F.lit(n_groups)))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
-        placed = first_fit_decreasing(rows["length"].tolist(), length)
-        return rows.assign(sequence_id=rows["_g"].astype("int64") * 2**32 + [b for b, _ in placed], offset=[o for _, o in placed]).drop(columns="_g")
+    def run(rows: pa.Table) -> pa.Table:
+        own = {c: rows.column(c).fill_null(-1).to_numpy() for c in ("length", "doc_id", "start", "ids_crc32", "_g")}
+        order = np.lexsort((own["ids_crc32"], own["start"], own["doc_id"], -own["length"]))
+        placed = np.array(first_fit_decreasing(own["length"][order].tolist(), length), np.int64).reshape(-1, 2)
+        out = rows.select(PIECE).take(pa.array(order))
+        return out.append_column("sequence_id", pa.array(own["_g"] * 2**32 + placed[:, 0])).append_column("offset", pa.array(placed[:, 1]))
 
-    return grouped.groupBy("_g").applyInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return grouped.groupBy("_g").applyInArrow(run, ", ".join(f"{c} long" for c in [*PIECE, "sequence_id", "offset"]))
