@@ -2,25 +2,33 @@
 
 A text is read as tokens: its words, a word of more than ``PIECE`` characters in pieces of that many. The k-mers of k
 tokens are numbered by occurrence, so a k-mer that repeats stands for as many elements. One hash of (k-mer, occurrence)
-names a bin by its upper bits and a priority by the others; in each of the ``bins`` bins the two elements of least
-priority are selected, put back into the order of the text, and the pair is hashed. A fingerprint is the list of bins
-in use with the hash of their pair. Two texts are alike in the bins where the same elements stand in the same order:
-likeness is the share of bins with equal hash among the bins that either text uses. One hash for all bins keeps the work
+places every element on a circle that is cut into ``bins`` equal bins. Each bin selects two elements, the first two at or
+after its beginning on the circle; they are put back into the order of the text and the ordered pair is hashed. In a long
+text those are the two least elements of the bin itself; in a short one, bins without two elements of their own borrow the
+next ones, so every bin of every text with two k-mers or more holds an ordered pair. Two texts agree in a bin where the
+same two elements stand in the same order: likeness is the share of bins that agree. One hash for all bins keeps the work
 at one pass over the tokens and one sort.
 
 Everything is one column expression: k-mers are hashed by position, sorted as (hash, position), their runs give the
-occurrence numbers, and a second sort gives the bins. Inner values are bound by transform over one-element arrays, so
-that nothing is evaluated again for every element.
+occurrence numbers, and a second sort places the elements. Up to ``PACKED`` tokens, hash and position are packed into one
+integer (46 and 17 bits); longer texts sort pairs of the same hash and a 32-bit position, so that no order is lost. Inner
+values are bound by transform over one-element arrays, so that nothing is evaluated again for every element.
+
+The next document is found by buckets of rising ids: cut points that leave about ``ROWS`` ids a bucket, at most ``CUTS`` of
+them, come from a range partition of the ids alone. Texts are dealt once, by bucket; the least id of each bucket is sent
+to the bucket before it as well.
 
 Defined cases: a null text counts as empty; the empty text has the empty fingerprint, alike (1.0) to another empty one
-only. A text of fewer than k tokens is one k-mer. Rows that share a doc_id are one document, that of the smallest text.
-Rows of a null doc_id are left out of the succession: they are returned with their fingerprint and nulls for what needs
-a next document. Extra columns are ignored. A single document is its own next one.
+only. A text of fewer than k tokens is one k-mer. Every row is returned. Rows that share a doc_id have the same next
+document: that of the next greater doc_id, and of several texts under that id the least. After the greatest doc_id comes
+the least; a single doc_id is its own next one. Rows of a null doc_id are left out of the succession: they are returned
+with their fingerprint and nulls for what needs a next document. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 K, BINS, PIECE = 3, 128, 8
-ROWS = 2048  # documents that meet in one bucket of ids
-_LOW24 = (1 << 24) - 1
+ROWS, CUTS = 1024, 65536
+PACKED, PLACE = 1 << 17, 17
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,78 +45,123 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def sketch(text: Column, k: int = K, bins: int = BINS) -> Column:
-    """array<bigint>: for every bin in use, bin * 2**48 + 48 bits of the hash of its pair; rising."""
+@dataclass(frozen=True)
+class _Pairs:
+    """How a 46-bit hash and a position are held as one sortable value."""
+
+    make: Callable[[Column, Column], Column]
+    name: Callable[[Column], Column]
+    place: Callable[[Column], Column]
+    kind: str
+
+
+def _high(h: Column) -> Column:
+    """The upper 46 bits of a hash."""
+    return F.shiftrightunsigned(h, 64 - 46)
+
+
+_PACKED = _Pairs(
+    lambda h, i: F.shiftleft(_high(h), PLACE).bitwiseOR(i.cast("long")),
+    lambda x: F.shiftright(x, PLACE),
+    lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1)),
+    "array<bigint>",
+)
+_WIDE = _Pairs(lambda h, i: F.struct(_high(h).alias("h"), i.cast("int").alias("i")), lambda x: x["h"], lambda x: x["i"], "array<struct<h:bigint,i:int>>")
+
+
+def sketch(text: Column, k: int = K, bins: int = BINS, packed: int = PACKED) -> Column:
+    """array<bigint>: for every bin, bin * 2**32 + 32 bits of the hash of its pair; rising, empty for an empty text."""
     bits = bins.bit_length() - 1
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % PIECE), F.lit(0))
 
-    def kmers(t: Column) -> Column:
-        # (39 bits of hash, 24 bits of position); positions beyond 2**24 share their place.
+    def kmers(t: Column, p: _Pairs) -> Column:
         word = F.transform(t, lambda x: F.xxhash64(x))
-        pack = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 25), 24).bitwiseOR(i.cast("long").bitwiseAND(F.lit(_LOW24)))
-        many = _let(word, lambda w: F.transform(F.slice(w, 1, F.size(w) - (k - 1)), lambda x, i: pack(F.xxhash64(x, *[w[i + j] for j in range(1, k)]), i)))
-        one = F.array(pack(F.xxhash64(*[F.coalesce(F.get(t, F.lit(j)), F.lit("")) for j in range(k)]), F.lit(0)))
-        return F.when(F.size(t) >= k, many).when(F.size(t) > 0, one).otherwise(F.array().cast("array<bigint>"))
+        many = _let(word, lambda w: F.transform(F.slice(w, 1, F.size(w) - (k - 1)), lambda x, i: p.make(F.xxhash64(x, *[w[i + j] for j in range(1, k)]), i)))
+        one = F.array(p.make(F.xxhash64(*[F.coalesce(F.get(t, F.lit(j)), F.lit("")) for j in range(k)]), F.lit(0)))
+        return F.when(F.size(t) >= k, many).when(F.size(t) > 0, one).otherwise(F.array().cast(p.kind))
 
-    def elements(s: Column) -> Column:
+    def elements(s: Column, p: _Pairs) -> Column:
         # Sorted k-mers: where a run of equal hashes begins; the place within the run is the occurrence number.
-        first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.shiftright(F.get(s, i - 1), 24) != F.shiftright(x, 24)), i)), lambda i: i.isNotNull())
-        name = lambda x, o: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.shiftright(x, 24), o), 25), 24).bitwiseOR(x.bitwiseAND(F.lit(_LOW24)))
-        run = lambda r, a, j: F.transform(F.slice(s, a + 1, F.coalesce(F.get(r, j + 1), F.size(s)) - a), lambda x, o: name(x, o))
+        first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (p.name(F.get(s, i - 1)) != p.name(x)), i)), lambda i: i.isNotNull())
+        run = lambda r, a, j: F.transform(F.slice(s, a + 1, F.coalesce(F.get(r, j + 1), F.size(s)) - a), lambda x, o: p.make(F.xxhash64(p.name(x), o), p.place(x)))
         return _let(first, lambda r: F.flatten(F.transform(r, lambda a, j: run(r, a, j))))
 
-    bin_of = lambda x: F.shiftright(x, 63 - bits)
-
-    def pairs(q: Column) -> Column:
-        # The two least of every bin, in which the order of the text decides what is hashed first.
+    def pairs(q: Column, p: _Pairs) -> Column:
+        bin_of = lambda x: F.shiftright(p.name(x), 46 - bits).cast("int")
+        # The first two of every bin: no bin before needs more of it.
         two = F.filter(q, lambda x, i: (i < 2) | (bin_of(F.get(q, i - 2)) != bin_of(x)))
 
         def fold(z: Column) -> Column:
-            def value(x: Column, i: Column) -> Column:
-                y = F.get(z, i + 1)
-                here, there = F.shiftright(x, 24), F.shiftright(y, 24)
-                alone = y.isNull() | (bin_of(y) != bin_of(x))
-                turn = x.bitwiseAND(F.lit(_LOW24)) <= y.bitwiseAND(F.lit(_LOW24))
-                h = F.when(alone, F.xxhash64(here)).when(turn, F.xxhash64(here, there)).otherwise(F.xxhash64(there, here))
-                start = (i == 0) | (bin_of(F.get(z, i - 1)) != bin_of(x))
-                return F.when(start, F.shiftleft(bin_of(x), 48).bitwiseOR(F.shiftrightunsigned(h, 16)))
-
-            return F.filter(F.transform(z, value), lambda v: v.isNotNull())
+            def value(x: Column, y: Column) -> Column:
+                turn = p.place(x) <= p.place(y)
+                h = F.when(turn, F.xxhash64(p.name(x), p.name(y))).otherwise(F.xxhash64(p.name(y), p.name(x)))
+                return F.shiftrightunsigned(h, 32)
+
+            def served(x: Column, i: Column) -> Column:
+                # The bins whose first element x is: those after the bin of the element before, up to its own.
+                last = F.when(i == 0, F.lit(-1)).otherwise(bin_of(F.get(z, i - 1)))
+                h = value(x, F.coalesce(F.get(z, i + 1), z[0]))
+                return F.when(bin_of(x) > last, _let(h, lambda v: F.transform(F.sequence(last + 1, bin_of(x)), lambda b: F.shiftleft(b.cast("long"), 32).bitwiseOR(v))))
+
+            wrap = bin_of(F.element_at(z, -1))
+            rest = F.when(wrap < bins - 1, _let(value(z[0], F.coalesce(F.get(z, F.lit(1)), z[0])), lambda v: F.transform(F.sequence(wrap + 1, F.lit(bins - 1)), lambda b: F.shiftleft(b.cast("long"), 32).bitwiseOR(v))))
+            own = F.flatten(F.filter(F.transform(z, served), lambda a: a.isNotNull()))
+            return F.when(F.size(z) > 0, F.concat(own, F.coalesce(rest, F.array().cast("array<bigint>")))).otherwise(F.array().cast("array<bigint>"))
 
         return _let(two, fold)
 
-    sorted_kmers = _let(tokens, lambda t: F.sort_array(kmers(t)))
-    return _let(sorted_kmers, lambda s: _let(F.sort_array(elements(s)), pairs))
+    def made(t: Column, p: _Pairs) -> Column:
+        return _let(F.sort_array(kmers(t, p)), lambda s: _let(F.sort_array(elements(s, p)), lambda q: pairs(q, p)))
+
+    return _let(tokens, lambda t: F.when(F.size(t) < min(packed, PACKED), made(t, _PACKED)).otherwise(made(t, _WIDE)))
 
 
 def written(sk: Column) -> Column:
-    """The sketch as text: 14 hexadecimal digits a bin in use."""
-    return F.array_join(F.transform(sk, lambda x: F.lpad(F.lower(F.hex(x)), 14, "0")), "")
+    """The sketch as text: 8 hexadecimal digits a bin."""
+    return F.array_join(F.transform(sk, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit((1 << 32) - 1)))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal bins among the bins in use, 0 to 1."""
-    bins = lambda s: F.transform(s, lambda x: F.shiftright(x, 48))
-    used = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used)
+    """Share of bins that agree, 0 to 1; an empty sketch agrees with an empty one only."""
+    most = F.greatest(F.size(a), F.size(b))
+    return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / most)
 
 
-def links(known: DataFrame) -> tuple[DataFrame, Column]:
-    """Buckets of rising ids, ROWS of them on average, and the column that gives a doc_id's bucket.
+def cut_points(ids: DataFrame, rows: int = ROWS) -> list[int]:
+    """The least id of each bucket, rising: about rows ids a bucket, at most CUTS of them. Only ids are shuffled."""
+    n = min(CUTS, -(-ids.count() // rows))
+    if n < 2:
+        first = ids.agg(F.min("doc_id")).first()[0]
+        return [] if first is None else [first]
+    dealt = ids.select("doc_id").repartitionByRange(n, "doc_id")
+    return sorted(r["_least"] for r in dealt.groupBy(F.spark_partition_id().alias("_p")).agg(F.min("doc_id").alias("_least")).collect())
 
-    Per bucket: _b, its least id _first, _to, the bucket before it (for the first bucket: the last), and the most _rows
-    of one id.
-    """
-    span = known.agg(F.min("doc_id").cast("decimal(20,0)").alias("lo"), F.max("doc_id").cast("decimal(20,0)").alias("hi"), F.count("*").alias("n")).first()
-    width = max(1, (int(span["hi"] or 0) - int(span["lo"] or 0)) * ROWS // max(1, span["n"]) + 1)
-    bucket = F.coalesce(F.floor(F.col("doc_id") / F.lit(width)).cast("long") if width < 1 << 50 else F.lit(0).cast("long"), F.lit(0).cast("long"))
-    per = known.groupBy("doc_id").agg(F.count("*").alias("_rows")).groupBy(bucket.alias("_b")).agg(F.min("doc_id").alias("_first"), F.max("_rows").alias("_rows"))
-    order = Window.orderBy("_b")
-    last = F.max("_b").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return cut(per.select("_b", "_first", "_rows", F.coalesce(F.lag("_b").over(order), last).alias("_to")), "links"), bucket
+
+def bucket_of(doc_id: Column, points: list[int]) -> Column:
+    """The number of cut points at or below doc_id, less one, by binary search in a constant array."""
+    known = F.split(F.lit(",".join(map(str, points))), ",").cast("array<bigint>")
+    steps = [1 << i for i in reversed(range(max(1, len(points).bit_length())))]
+
+    def step(at: Column, size: Column) -> Column:
+        return F.when(F.coalesce(F.get(known, at + size) <= doc_id, F.lit(False)), at + size).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+
+
+def _with_next(docs: DataFrame, rows: int, of: Callable[[Column], Column]) -> DataFrame:
+    """docs (distinct doc_id, text) with their sketch as _own and the next document's text and sketch as _text and _next."""
+    points = cut_points(docs.select("doc_id"), rows) or [0]
+    b = bucket_of(F.col("doc_id"), points)
+    firsts = F.get(F.split(F.lit(",".join(map(str, points))), ",").cast("array<bigint>"), b)
+    own = docs.select("doc_id", "text", b.alias("_b"), F.lit(False).alias("_edge"))
+    edge = docs.where(firsts == F.col("doc_id")).select("doc_id", "text", F.pmod(b - 1, F.lit(len(points))).alias("_b"), F.lit(True).alias("_edge"))
+    # An edge comes after all ids of its bucket, that of the first bucket too, which goes around to the last one.
+    order = Window.partitionBy("_b").orderBy("_edge", "doc_id")
+    both = own.unionByName(edge).repartition("_b").withColumn("_own", of(F.col("text")))
+    return both.select("*", F.lead("text").over(order).alias("_text"), F.lead("_own").over(order).alias("_next")).where(~F.col("_edge")).drop("_edge", "_b")
 
 
-def with_edits(docs: DataFrame, k: int = K, bins: int = BINS) -> DataFrame:
+def with_edits(docs: DataFrame, k: int = K, bins: int = BINS, rows: int = ROWS, packed: int = PACKED) -> DataFrame:
     """Fingerprints of docs (doc_id, text) and of their edited texts, and their likeness to those and to the next ones.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
@@ -116,18 +169,14 @@ def with_edits(docs: DataFrame, k: int = K, bins: int = BINS) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = docs.where("doc_id is not null")
-    ends, bucket = links(known)
-    if ends.where("_rows > 1").take(1):
-        known = known.groupBy("doc_id").agg(F.min("text").alias("text"))
-    # Texts are dealt once, by bucket, and meet the next one there. The first of each bucket also goes to the bucket
-    # before it, whose last text has its next one there.
-    dealt = known.withColumn("_b", bucket).repartition("_b")
-    firsts = dealt.join(ends.select("_b", "_first", "_to").hint("shuffle_hash"), "_b").where(F.col("doc_id") <= F.col("_first"))
-    firsts = firsts.select(F.col("_to").alias("_b"), F.struct("text", sketch(F.col("text"), k, bins).alias("own")).alias("_over"))
-    order = Window.partitionBy("_b").orderBy("doc_id")
-    both = dealt.select("_b", "doc_id", "text", sketch(F.col("text"), k, bins).alias("_own"))
-    both = both.select("*", F.lead("text").over(order).alias("_text"), F.lead("_own").over(order).alias("_next")).join(firsts.hint("shuffle_hash"), "_b", "left")
-    both = both.withColumn("_text", F.coalesce("_text", "_over.text")).withColumn("_next", F.coalesce("_next", "_over.own"))
+    of = lambda c: sketch(c, k, bins, packed)
+    if known.groupBy("doc_id").count().where("count > 1").take(1):
+        # Ids repeat: their succession goes by one text an id, and is then joined to every row.
+        after = _with_next(known.groupBy("doc_id").agg(F.min("text").alias("text")), rows, of)
+        after = cut(after.select(F.col("doc_id").alias("_id"), "_text", "_next"), "next")
+        both = known.join(after.hint("merge"), F.col("doc_id") == F.col("_id")).withColumn("_own", of(F.col("text")))
+    else:
+        both = _with_next(known, rows, of)
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 2 as int))"), F.expr("substring(_text, 1, cast(length(text) div 2 as int))"))
 
@@ -138,7 +187,7 @@ def with_edits(docs: DataFrame, k: int = K, bins: int = BINS) -> DataFrame:
             likeness(own, edit).alias("near_edited"), likeness(own, z["next"]).alias("near_next"),
         )
 
-    made = _let(F.struct(F.col("_own").alias("own"), sketch(edited, k, bins).alias("edit"), F.col("_next").alias("next")), row)
+    made = _let(F.struct(F.col("_own").alias("own"), of(edited).alias("edit"), F.col("_next").alias("next")), row)
     out = both.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), F.inline(F.array(made)))
-    alone = docs.where("doc_id is null").select("doc_id", n.cast("long").alias("n_chars"), written(sketch(F.col("text"), k, bins)).alias("fingerprint"))
+    alone = docs.where("doc_id is null").select("doc_id", n.cast("long").alias("n_chars"), written(of(F.col("text"))).alias("fingerprint"))
     return out.unionByName(alone, allowMissingColumns=True)

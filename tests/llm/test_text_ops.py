@@ -171,43 +171,79 @@ def _omh(text, k=3, bins=128):
     tokens = re.findall("[^\x20\x09-\x0d]{1,8}", text)
     words = [chain(t) for t in tokens]
     if len(tokens) >= k:
-        grams = [(chain(*words[i : i + k]) % 2**64 >> 25, i) for i in range(len(tokens) - k + 1)]
+        grams = [(chain(*words[i : i + k]) % 2**64 >> 18, i) for i in range(len(tokens) - k + 1)]
     else:
-        grams = [(chain(*(tokens + [""] * (k - len(tokens)))) % 2**64 >> 25, 0)] if tokens else []
+        grams = [(chain(*(tokens + [""] * (k - len(tokens)))) % 2**64 >> 18, 0)] if tokens else []
     seen, elems = Counter(), []
     for h, i in sorted(grams):
-        elems.append((chain(h, (seen[h],)) % 2**64 >> 25, i))
+        elems.append((chain(h, (seen[h],)) % 2**64 >> 18, i))
         seen[h] += 1
-    by = {}
-    for v, i in sorted(elems):
-        by.setdefault(v >> 32, []).append((v, i))
+    elems.sort()
     out = []
-    for b, es in sorted(by.items()):
-        two = sorted(es[:2], key=lambda e: e[1])
-        out.append(b << 48 | chain(*[v for v, _ in two]) % 2**64 >> 16)
-    return "".join(f"{x:014x}" for x in out)
-
-
-def test_fingerprints_against_plain_python(spark):
-    texts = [t or "" for t in ODD if not t or len(t) < 5000] + [t for _, t in prose(7, 30, 200)] + ["a b c d e f a b c d e f a b c d e f"]
-    df = spark.createDataFrame([(10 * i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    rows = {x.doc_id: x for x in fingerprints.with_edits(df).collect()}
+    for b in range(bins) if elems else ():
+        at = next((n for n, (v, _) in enumerate(elems) if v >= b << 39), len(elems))  # the circle: the first two from here on
+        two = sorted((elems[at % len(elems)], elems[(at + 1) % len(elems)]), key=lambda e: e[1])
+        out.append(chain(*[v for v, _ in two]) % 2**64 >> 32)
+    return "".join(f"{x:08x}" for x in out)
+
+
+def _near(a, b):
+    cut = lambda s: [s[i : i + 8] for i in range(0, len(s), 8)]
+    a, b = cut(a), cut(b)
+    return 1.0 if not a and not b else sum(x == y for x, y in zip(a, b)) / 128
+
+
+@pytest.mark.parametrize(("ids", "packed"), [("dense", 1 << 17), ("random", 16), ("outlier", 1 << 17)])
+def test_fingerprints_against_plain_python(spark, ids, packed):
+    texts = [t or "" for t in ODD] + [t for _, t in prose(7, 30, 200)] + ["a b c d e f a b c d e f a b c d e f"]
+    r = random.Random(3)
+    own = {"dense": lambda i: 10 * i, "random": lambda i: r.randrange(-(2**63), 2**63), "outlier": lambda i: i if i else 2**61}[ids]
+    at = {own(i): t for i, t in enumerate(texts)}
+    order = sorted(at)
+    rows = {x.doc_id: x for x in fingerprints.with_edits(spark.createDataFrame(list(at.items()), "doc_id long, text string"), rows=5, packed=packed).collect()}
     assert len(rows) == len(texts)
-    for i, t in enumerate(texts):
-        nxt, half = texts[(i + 1) % len(texts)], len(t) // 2
+    for n, i in enumerate(order):
+        t, nxt = at[i], at[order[(n + 1) % len(order)]]
+        half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
-        x = rows[10 * i]
+        x = rows[i]
         assert x.n_chars == len(t) and x.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert x.fingerprint == _omh(t) and x.edited_fingerprint == _omh(edited)
-        assert 0 <= x.near_edited <= 1 and 0 <= x.near_next <= 1
+        assert abs(x.near_edited - _near(_omh(t), _omh(edited))) < 1e-9 and abs(x.near_next - _near(_omh(t), _omh(nxt))) < 1e-9
+
+
+def test_fingerprint_cut_points_bound_every_bucket(spark):
+    r = random.Random(1)
+    ids = [r.randrange(-(2**63), 2**63) for _ in range(20_000)] + list(range(20_000)) + [2**62]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    points = fingerprints.cut_points(df, 500)
+    sizes = [x["count"] for x in df.groupBy(fingerprints.bucket_of(F.col("doc_id"), points)).count().collect()]
+    assert len(points) > 60 and sum(sizes) == len(ids) and max(sizes) < 4 * 500
+
+
+def test_fingerprint_tells_order(spark):
+    """The same k-mers in another order: a set of k-mers could not tell the texts apart, an edit distance does."""
+    r = random.Random(2)
+    for n in (12, 40, 100):
+        words = ["".join(r.choice("abcdefg") for _ in range(6)) for _ in range(n)]
+        blocks = [" ".join(words[i : i + n // 4]) for i in range(0, n, n // 4)]
+        same, moved = " ".join(blocks), " ".join(blocks[::-1])
+        a, b = _omh(same), _omh(moved)
+        grams = lambda t: {tuple(t.split()[i : i + 3]) for i in range(n - 2)}
+        assert _near(a, b) < len(grams(same) & grams(moved)) / len(grams(same) | grams(moved)) - 0.15
 
 
 def test_fingerprint_edges(spark):
     one = fingerprints.with_edits(spark.createDataFrame([(5, "only one text here")], "doc_id long, text string")).first()
     assert one.near_next == 1.0
-    many = fingerprints.with_edits(spark.createDataFrame([(1, "b"), (1, "a"), (None, "n"), (2, None)], "doc_id long, text string")).collect()
-    assert sorted((x.doc_id or 0, x.n_chars) for x in many) == [(0, 1), (1, 1), (2, 0)]
+    # Rows that repeat an id are all returned; their next document is the least text of the next id.
+    rows = [(1, "b b b b"), (1, "a a"), (1, "a a"), (None, "n"), (2, None), (3, "zz y"), (3, "yy x")]
+    many = fingerprints.with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((x.doc_id or 0, x.n_chars, x.edited_sha256 or "") for x in many) == sorted([(0, 1, ""), (1, 7, sha("b b ")), (1, 3, sha("a ")), (1, 3, sha("a ")), (2, 0, sha("")), (3, 4, sha("zza ")), (3, 4, sha("yya "))])
     assert fingerprints.with_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    only = fingerprints.with_edits(spark.createDataFrame([(None, "x"), (None, None)], "doc_id long, text string")).collect()
+    assert sorted(x.n_chars for x in only) == [0, 1]
 
 
 def _luhn(digits):
