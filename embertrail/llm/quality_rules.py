@@ -5,10 +5,9 @@ for all other words), are held against the language's own histograms by Jensen-S
 divergence in bits, 0 to 1). A text is kept unless its base counts fail or a distance exceeds its limit; a distance
 counts only where the text is long enough for it (min_chars, min_words).
 
-The references cover all documents. Class counts are exact. Common words come from heavy hitters: every chunk of
-about ``chunk`` words reports the words above ``1/heavy`` of it, so no word above that share of a language is missed
-and a count is low by at most that share. Texts of a language beyond the ``max_langs`` most frequent, or of none, are
-held against the reference of all texts together.
+The references cover all documents, and every count in them is exact: a first pass finds the words that may be common
+(every word of a share of ``1/heavy`` or more among them, whatever the partitions), a second one counts them. Texts of no
+language, or of one without any word, are held against the reference of all texts together.
 
 Defined cases: a null text counts as empty; its counts are 0 and base_failed is true. Repeated rows are each judged,
 a null doc_id stays null. Without any word in the corpus no distance is taken. Columns beyond doc_id, text and lang are
@@ -22,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slice, column, mix, slices, span_hashes
+from .common import Slice, column, cut, drop, mix, slices, span_hashes
 
 #: The symbols that the base counts name.
 SYMBOLS = b"#*$%&|<>"
@@ -44,6 +43,13 @@ def _classes() -> np.ndarray:
 
 
 CLASSES, N_CLASSES = _classes(), 9
+ALL, NONE = "all", "none"  # all texts together, and those of no language; a language's name follows a mark, so none clashes
+
+
+def _group(lang: str | None) -> str:
+    return NONE if lang is None else "=" + lang
+
+
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _MARK = np.isin(np.arange(256), list(b".,;:!?\"'"))
 
@@ -110,83 +116,141 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
-def references(docs: DataFrame, top: int, heavy: int, chunk: int, max_langs: int) -> dict[str, Reference]:
-    """The histograms of each language, and under '' those of all texts, from all documents."""
+def _counted(s: Slice, of: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Per group of texts: its words' distinct hashes and their numbers."""
+    h, _, _, before = plain_words(s)
+    word_of = np.repeat(of, np.diff(before))
+    for g in set(of.tolist()):
+        yield g, *np.unique(h[word_of == g], return_counts=True)
+
+
+_ROWS = "lang string, kind string, key long, n long"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["lang", "kind", "key", "n"])
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
+
+
+def _candidates(docs: DataFrame, heavy: int, chunk: int) -> tuple[dict[str, np.ndarray], dict[str, int], dict[str, np.ndarray]]:
+    """Per language, and under ALL for all texts: class counts and number of words, both exact, and the words that may be common.
+
+    Each chunk of words reports those above 1 / (4 heavy) of a language's words in it. What goes unreported of a word is
+    at most that share, so every word of a share of 1 / heavy is reported for 3/4 of it, and at most 4/3 heavy words are.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: dict[str, np.ndarray] = {}
         words: dict[str, list] = {}
-        seen: dict[str, int] = {}
-        names: dict[int, str] = {}
+        seen = 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(g, "class", i, "", int(c)) for g, v in classes.items() for i, c in enumerate(v)]
+            rows = [(g, "class", i, int(c)) for g, v in classes.items() for i, c in enumerate(v)]
             for g, parts in words.items():
-                keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                count = np.bincount(back, np.concatenate([c for _, c in parts])).astype(np.int64)
-                rows.append((g, "all", 0, "", int(count.sum())))
-                rows += [(g, "word", int(k.astype(np.int64)), names.get(int(k), ""), int(c)) for k, c in zip(keys[count * heavy > seen[g]], count[count * heavy > seen[g]])]
-            classes.clear(), words.clear(), seen.clear(), names.clear()
-            cols = list(zip(*rows)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()))], ["lang", "kind", "key", "word", "n"])
+                keys, count = _merged(parts)
+                total = int(count.sum())
+                often = count * 4 * heavy > total
+                rows.append((g, "all", 0, total))
+                rows += [(g, "word", k, c) for k, c in zip(keys[often].view(np.int64).tolist(), count[often].tolist())]
+            classes.clear(), words.clear()
+            return _rows(rows)
 
         for b in batches:
             langs = column(b, "lang").to_pylist()
             for s in slices(column(b, "text")):
-                of = np.array([x or "" for x in langs[s.first : s.first + s.n]])
+                of = np.array([_group(x) for x in langs[s.first : s.first + s.n]])
                 cc = class_counts(s)
-                h, starts, ends, before = plain_words(s)
-                word_lang = np.repeat(of, np.diff(before))
-                for g in set(of.tolist()):
+                for g, keys, count in _counted(s, of):
                     classes[g] = classes.get(g, 0) + cc[of == g].sum(axis=0)
-                    own = np.flatnonzero(word_lang == g)
-                    keys, first, count = np.unique(h[own], return_index=True, return_counts=True)
-                    often = count * heavy * 4 > len(own)
-                    for k, i in zip(keys[often].tolist(), own[first[often]].tolist()):
-                        names.setdefault(k, s.flat[starts[i] : ends[i]].tobytes().decode("utf-8", "replace").lower())
                     words.setdefault(g, []).append((keys, count))
-                    seen[g] = seen.get(g, 0) + len(own)
+                    seen += int(count.sum())
                     if len(words[g]) > 16:
-                        joined, back = np.unique(np.concatenate([k for k, _ in words[g]]), return_inverse=True)
-                        words[g] = [(joined, np.bincount(back, np.concatenate([c for _, c in words[g]])).astype(np.int64))]
-                if sum(seen.values()) > chunk:
+                        words[g] = [_merged(words[g])]
+                if seen > chunk:
+                    seen = 0
                     yield flush()
         yield flush()
 
-    sums = docs.select("text", "lang").mapInArrow(partial, "lang string, kind string, key long, word string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"), F.max("word").alias("word"))
-    order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
-    best = sums.withColumn("_r", F.row_number().over(order)).where((F.col("kind") != "word") | (F.col("_r") <= top))
-    share = Window.orderBy(F.desc("size"), "lang")
-    langs = best.where("kind = 'all'").select("lang", F.col("n").alias("size")).withColumn("_l", F.row_number().over(share)).where(F.col("_l") <= max_langs)
-    rows = best.join(langs, "lang").collect()
-    by: dict[str, dict] = {}
-    for r in rows:
-        for g in {r["lang"], ""} if r["kind"] == "class" or r["lang"] else {""}:
-            x = by.setdefault(g, {"class": np.zeros(N_CLASSES), "word": {}, "all": 0})
-            if r["kind"] == "class":
-                x["class"][r["key"]] += r["n"]
-            elif r["kind"] == "all":
-                x["all"] += r["n"]
-            else:
-                k = int(np.int64(r["key"]).astype(np.uint64))
-                x["word"][k] = x["word"].get(k, 0) + r["n"]
+    sums = docs.select("text", "lang").mapInArrow(partial, _ROWS)
+    per = cut(sums.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "word-sums")
+    total = per.where("kind = 'all'").select("lang", F.col("n").alias("size"))
+    near = per.where("kind = 'word'").join(F.broadcast(total), "lang").where(F.expr(f"n * 4 * {heavy} >= 3 * size"))
+    everything = total.agg(F.sum("size")).first()[0] or 0
+    common = per.where("kind = 'word'").groupBy("key").agg(F.sum("n").alias("n")).where(F.expr(f"n * 4 * {heavy} >= 3L * {everything}L"))
+    words: dict[str, list] = {ALL: [r["key"] for r in common.collect()]}
+    for r in near.collect():
+        words.setdefault(r["lang"], []).append(r["key"])
+    classes: dict[str, np.ndarray] = {ALL: np.zeros(N_CLASSES)}
+    sizes = {ALL: everything}
+    for r in per.where("kind <> 'word'").collect():
+        if r["kind"] == "all":
+            sizes[r["lang"]] = r["n"]
+        else:
+            classes.setdefault(r["lang"], np.zeros(N_CLASSES))[r["key"]] = r["n"]
+            classes[ALL][r["key"]] += r["n"]
+    drop(per)
+    return classes, sizes, {g: np.sort(np.array(k, np.int64).view(np.uint64)) for g, k in words.items()}
+
+
+def _exact(docs: DataFrame, known: dict[str, np.ndarray]) -> dict[str, dict[int, int]]:
+    """The exact number of each candidate in its language, and of those under ALL in all texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {g: np.zeros(len(k) + 1, np.int64) for g, k in shared.value.items()}
+        for b in batches:
+            langs = column(b, "lang").to_pylist()
+            for s in slices(column(b, "text")):
+                for g, keys, count in _counted(s, np.array([_group(x) for x in langs[s.first : s.first + s.n]])):
+                    for name in {g, ALL}:
+                        if name in sums:
+                            sums[name] += np.bincount(_place(keys, shared.value[name]), count, minlength=len(sums[name])).astype(np.int64)
+        rows = []
+        for g, v in sums.items():
+            at = np.flatnonzero(v[:-1])
+            rows += [(g, "word", k, n) for k, n in zip(shared.value[g][at].view(np.int64).tolist(), v[at].tolist())]
+        yield _rows(rows)
+
+    out: dict[str, dict[int, int]] = {}
+    for r in docs.select("text", "lang").mapInArrow(partial, _ROWS).groupBy("lang", "key").agg(F.sum("n").alias("n")).collect():
+        out.setdefault(r["lang"], {})[int(np.int64(r["key"]).astype(np.uint64))] = r["n"]
+    return out
+
+
+def references(docs: DataFrame, top: int, heavy: int, chunk: int) -> dict[str, Reference]:
+    """The histograms of each language, and under ALL those of all texts, from all documents.
+
+    Common words are the ``top`` most frequent of those with a share of 1 / heavy or more, by exact counts, so the
+    references do not depend on how the documents are partitioned.
+    """
+    classes, sizes, known = _candidates(docs, heavy, chunk)
+    counts = _exact(docs, known)
     out = {}
-    for g, x in by.items():
-        if x["all"]:
-            common = sorted(x["word"].items(), key=lambda kv: (-kv[1], kv[0]))[:top]
-            keys = np.array(sorted(k for k, _ in common), np.uint64)
-            shares = np.array([x["word"][int(k)] for k in keys] + [0.0])
-            shares[-1] = max(0.0, x["all"] - shares.sum())
-            out[g] = Reference(x["class"] / max(1, x["class"].sum()), keys, shares / x["all"])
+    for g, size in sizes.items():
+        if size:
+            common = sorted(((n, k) for k, n in counts.get(g, {}).items() if n * heavy >= size), key=lambda x: (-x[0], x[1]))[:top]
+            keys = np.array(sorted(k for _, k in common), np.uint64)
+            shares = np.array([counts[g][int(k)] for k in keys] + [0.0])
+            shares[-1] = size - shares.sum()
+            out[g] = Reference(classes[g] / max(1, classes[g].sum()), keys, shares / size)
     return out
 
 
+def _place(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each hash stands among the sorted keys; their number for those that do not."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64)
+    j = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[j] == h, j, len(keys))
+
+
 def word_histograms(h: np.ndarray, doc: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
-    i = np.searchsorted(keys, h)
-    if len(keys):
-        j = np.minimum(i, len(keys) - 1)
-        i = np.where(keys[j] == h, j, len(keys))
-    return np.bincount(doc * (len(keys) + 1) + i, minlength=n * (len(keys) + 1)).reshape(n, len(keys) + 1).astype(float)
+    return np.bincount(doc * (len(keys) + 1) + _place(h, keys), minlength=n * (len(keys) + 1)).reshape(n, len(keys) + 1).astype(float)
 
 
 def judge(
@@ -198,10 +262,9 @@ def judge(
     top: int = 64,
     heavy: int = 2000,
     chunk: int = 1_000_000,
-    max_langs: int = 256,
 ) -> DataFrame:
     """Base counts, distances and verdict for every row of docs (doc_id, text, lang)."""
-    shared = docs.sparkSession.sparkContext.broadcast(references(docs, top, heavy, chunk, max_langs))
+    shared = docs.sparkSession.sparkContext.broadcast(references(docs, top, heavy, chunk))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +281,7 @@ def judge(
                 h, _, _, before = plain_words(s)
                 n_words = np.diff(before)
                 doc = np.repeat(np.arange(s.n), n_words)
-                of = np.array([x if x in refs else "" for x in langs[s.first : s.first + s.n]])
+                of = np.array([g if x is not None and (g := _group(x)) in refs else ALL for x in langs[s.first : s.first + s.n]])
                 for g in set(of.tolist()) if refs else ():
                     ref, own = refs[g], np.flatnonzero(of == g)
                     place = np.full(s.n, -1)
