@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model per language, of order 5, over the characters of space-padded words. The n-grams of all languages stand in
-one sorted array of 64-bit hashes per order, with a column of discounted probabilities per language; a second sorted
-array holds the back-off weights of the contexts. A text goes to the language of lowest cross-entropy per character.
+one sorted array of 64-bit hashes per order, each with the languages that have it and their discounted probabilities; a
+second sorted array holds the back-off weights of the contexts. A text goes to the language of lowest cross-entropy per character.
 
 Calibration: a quarter of the training sample is kept out of the counts. It fits the temperature that turns
 cross-entropies into a probability, and the highest cross-entropy that still counts as the language (rejection).
@@ -60,14 +60,44 @@ def _grams(sym: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+@dataclass
+class Table:
+    """Sorted hashes, and for each the languages that have it with a value each; any other language has ``other``."""
+
+    keys: np.ndarray
+    first: np.ndarray  # where a hash's entries begin, and the end of the last
+    lang: np.ndarray
+    value: np.ndarray
+    other: float
+
+    @staticmethod
+    def of(parts: list[tuple[np.ndarray, np.ndarray]], other: float) -> Table:
+        """parts: hashes and values, one pair a language."""
+        keys = np.concatenate([k for k, _ in parts])
+        lang = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
+        order = np.argsort(keys, kind="stable")
+        u, first = np.unique(keys[order], return_index=True)
+        return Table(u, np.append(first, len(keys)), lang[order], np.concatenate([v for _, v in parts])[order], other)
+
+    def get(self, asked: np.ndarray, n_langs: int) -> np.ndarray:
+        """A row of values, one a language, for each hash."""
+        u, back = np.unique(asked, return_inverse=True)
+        out = np.full((len(u), n_langs), self.other)
+        if len(self.keys):
+            i = np.minimum(np.searchsorted(self.keys, u), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[i] == u)
+            n = self.first[i[hit] + 1] - self.first[i[hit]]
+            at = np.repeat(self.first[i[hit]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out[np.repeat(hit, n), self.lang[at]] = self.value[at]
+        return out[back]
+
+
 @dataclass
 class Model:
     langs: list[str]
     base: np.ndarray  # log space is entered only at the end: uniform share per language
-    grams: list[np.ndarray] = field(default_factory=list)  # per order: sorted hashes
-    probs: list[np.ndarray] = field(default_factory=list)  # per order: discounted probability, a column per language
-    ctxs: list[np.ndarray] = field(default_factory=list)
-    lams: list[np.ndarray] = field(default_factory=list)  # per order: back-off weight of a context, 1 where unseen
+    probs: list[Table] = field(default_factory=list)  # per order: discounted probabilities
+    lams: list[Table] = field(default_factory=list)  # per order: back-off weight of a context, 1 where unseen
     temperature: float = 1.0
     limits: np.ndarray | None = None
 
@@ -80,11 +110,8 @@ class Model:
         for n in range(1, ORDER + 1):
             ok = place[at] >= n - 1
             pos = at[ok]
-            if n == 1:
-                lam = self.lams[0]
-            else:
-                lam = _lookup(self.ctxs[n - 1], self.lams[n - 1], g[n - 2][pos - 1], 1.0)
-            p[ok] = p[ok] * lam + _lookup(self.grams[n - 1], self.probs[n - 1], g[n - 1][pos], 0.0)
+            context = g[n - 2][pos - 1] if n > 1 else np.zeros(len(pos), np.uint64)
+            p[ok] = p[ok] * self.lams[n - 1].get(context, len(self.langs)) + self.probs[n - 1].get(g[n - 1][pos], len(self.langs))
         out = np.zeros((len(words), len(self.langs)))
         cost = -np.log(np.maximum(p, 1e-12))
         first = np.flatnonzero(np.r_[True, np.diff(word[at]) > 0]) if len(at) else np.zeros(0, np.int64)
@@ -93,16 +120,6 @@ class Model:
         return out, np.bincount(word[at], minlength=len(words)).astype(float)
 
 
-def _lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, other: float) -> np.ndarray:
-    u, back = np.unique(asked, return_inverse=True)
-    i = np.searchsorted(keys, u)
-    i[i == len(keys)] = 0
-    hit = keys[i] == u if len(keys) else np.zeros(len(u), bool)
-    out = np.full((len(u), values.shape[1]), other)
-    out[hit] = values[i[hit]]
-    return out[back]
-
-
 def _one_language(words: Counter) -> list[tuple[np.ndarray, ...]]:
     """Per order: n-grams and discounted probabilities, contexts and back-off weights."""
     sym, word, place = _sequences(list(words))
@@ -147,13 +164,8 @@ def build(texts: list[tuple[str, str]]) -> Model:
     alphabet = 1 + len({c for t in texts for c in t[1].lower() if not c.isspace()})
     model.base = np.full(len(langs), 1.0 / alphabet)
     for n in range(ORDER):
-        for keys_at, values_at, store, vals, other in ((0, 1, model.grams, model.probs, 0.0), (2, 3, model.ctxs, model.lams, 1.0)):
-            keys = np.unique(np.concatenate([t[n][keys_at] for t in tables]))
-            out = np.full((len(keys), len(langs)), other)
-            for j, t in enumerate(tables):
-                out[np.searchsorted(keys, t[n][keys_at]), j] = t[n][values_at]
-            store.append(keys)
-            vals.append(out)
+        model.probs.append(Table.of([t[n][0:2] for t in tables], 0.0))
+        model.lams.append(Table.of([t[n][2:4] for t in tables], 1.0))
     ce, _ = entropies(model, pa.array([t for _, t in kept], pa.string()))
     truth = np.array([langs.index(x) for x, _ in kept])
     ok = np.isfinite(ce[:, 0])
@@ -170,10 +182,10 @@ def build(texts: list[tuple[str, str]]) -> Model:
 
 
 class Cache:
-    """Scores of the words seen last, by hash; emptied beyond its size."""
+    """Scores of the words seen last, by hash; emptied beyond its size in bytes."""
 
-    def __init__(self, model: Model, size: int = 400_000):
-        self.model, self.size = model, size
+    def __init__(self, model: Model, size: int = 64 << 20):
+        self.model, self.size = model, size // (12 + 4 * len(model.langs))
         self.clear()
 
     def clear(self) -> None:
@@ -230,33 +242,53 @@ def entropies(model: Model, texts: pa.Array, cache: Cache | None = None) -> tupl
     return out, letters
 
 
-def training_sample(docs: DataFrame, max_docs: int, max_langs: int, max_chars: int) -> list[tuple[str, str]]:
-    """Up to max_docs texts of each of up to max_langs languages, those of lowest hash; texts over max_chars are not sampled."""
-    own = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= max_chars))
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+def training_sample(docs: DataFrame, max_docs: int, max_chars: int) -> list[tuple[str, str]]:
+    """Of every language up to max_docs texts of lowest hash, of max_chars characters together for all languages.
+
+    A language's share of max_chars is equal to every other's. If even its first text is longer than that, the language
+    is learned from its shortest text alone.
+    """
+    own = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    sizes = own.groupBy("lang").agg(F.count("*").alias("count")).collect()
     if not sizes:
         return []
+    room = max_chars // len(sizes)
     top = 2.0**63
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(2.0, 2.0 * max_docs / r["count"] + 16.0 / r["count"])))])
-    picked = own.withColumn("_h", F.xxhash64("doc_id")).where((F.col("_h").cast("double") / top + 1.0) < F.coalesce(share[F.col("lang")] * 1.0, F.lit(0.0)))
-    rows = sorted(picked.select("lang", "text", "_h", "doc_id").collect(), key=lambda r: (r["lang"], r["_h"], r["doc_id"], r["text"]))
-    got: Counter = Counter()
-    out = []
-    for r in rows:
-        if got[r["lang"]] < max_docs:
+    share = {r["lang"]: min(2.0, 2.0 * max_docs / r["count"] + 16.0 / r["count"]) for r in sizes}
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(k, v, room) for k, v in share.items()], "_lang string, _share double, _room long")
+    picked = own.withColumn("_h", F.xxhash64("doc_id")).join(F.broadcast(wanted), F.col("lang") == F.col("_lang"))
+    picked = picked.where("(double(_h) / %r + 1.0) < _share and length(text) <= _room" % top)
+    # Hashes first, so that only the texts that are taken reach the driver.
+    keys = sorted(picked.select("lang", "_h", "doc_id", F.xxhash64("text").alias("_t"), F.length("text").alias("_n")).collect(), key=lambda r: (r["lang"], r["_h"], r["doc_id"], r["_t"]))
+    got, used = Counter(), Counter()
+    taken = []
+    for r in keys:
+        if got[r["lang"]] < max_docs and used[r["lang"]] + r["_n"] <= room:
             got[r["lang"]] += 1
-            out.append((r["lang"], r["text"]))
+            used[r["lang"]] += r["_n"]
+            taken.append((r["lang"], r["doc_id"], r["_t"], got[r["lang"]]))
+    out = []
+    if taken:
+        mine = spark.createDataFrame(taken, "_lang string, _id long, _t long, _at int")
+        rows = own.join(F.broadcast(mine), (F.col("lang") == F.col("_lang")) & (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_t"))).select("lang", "_at", "text").dropDuplicates(["lang", "_at"])
+        out = [(r["lang"], r["text"]) for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["_at"]))]
+    missing = [r["lang"] for r in sizes if not got[r["lang"]]]
+    if missing:
+        few = spark.createDataFrame([(x,) for x in missing], "_lang string")
+        least = own.join(F.broadcast(few), F.col("lang") == F.col("_lang")).groupBy("lang").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("_m"))
+        out += [(r["lang"], r["text"]) for r in least.select("lang", "_m.text").collect()]
     return out
 
 
-def identify(docs: DataFrame, max_docs: int = 400, max_langs: int = 256, max_chars: int = 200_000) -> DataFrame:
+def identify(docs: DataFrame, max_docs: int = 400, max_chars: int = 64_000_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected for every row of docs (doc_id, text, lang).
 
-    The models learn from a bounded sample: max_docs texts a language, of at most max_chars characters each, of at
-    most max_langs languages, none of them held out. Every whole text is predicted.
+    The models learn from a bounded sample: max_docs texts of every language, of max_chars characters in all, none of
+    them held out. Every language of the table is learned, and every whole text is predicted.
     """
     spark = docs.sparkSession
-    sample = training_sample(docs, max_docs, max_langs, max_chars)
+    sample = training_sample(docs, max_docs, max_chars)
     shared = spark.sparkContext.broadcast(build(sample) if sample else None)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,6 +69,23 @@ def test_quality_base_counts(spark):
     assert not any(x.kept for x in rows if x.base_failed)
 
 
+def test_quality_references_are_exact_on_any_layout(spark):
+    """Against plain counts, and the same distances whatever the partitions and chunks."""
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(r.choices(vocabulary, [1 / (k + 1) for k in range(300)], k=r.randint(0, 90))) + "!", ["en", "de", None, "ALL"][i % 4]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = (quality_rules.references(df.repartition(n), 20, 150, chunk) for n, chunk in ((1, 10**6), (23, 40)))
+    words = {g: Counter(w.rstrip("!") if len(w) > 1 else w for _, t, lang in rows if g == quality_rules.ALL or g == quality_rules._group(lang) for w in t.split()) for g in one}
+    for g, ref in one.items():
+        size = sum(words[g].values())
+        assert np.array_equal(ref.keys, many[g].keys) and np.allclose(ref.words, many[g].words) and np.allclose(ref.classes, many[g].classes)
+        want = sorted((n for n in words[g].values() if n * 150 >= size), reverse=True)[:20]
+        assert np.allclose(sorted(ref.words[:-1] * size, reverse=True), want) and abs(ref.words.sum() - 1) < 1e-9
+    judged = [{x.doc_id: (x.kept, x.class_distance, x.word_distance) for x in quality_rules.judge(df.repartition(n)).collect()} for n in (1, 40)]
+    assert judged[0] == judged[1]
+
+
 def test_quality_divergence_rejects_symbols(spark):
     good = [t for lang, t in prose(2, 60, 80) if lang == "en"]
     bad = " ".join(w + "%%%###" for w in good[0].split())
@@ -94,6 +111,77 @@ def test_language_held_out_and_odd_texts(spark):
     assert langid.identify(none).first().lang_pred == "und"
 
 
+def test_many_languages_are_all_learned(spark):
+    r = random.Random(1)
+    alphabets = ["".join(r.sample("abcdefghijklmnopqrstuvwxyz", 6)) for _ in range(300)]
+    rows = [(1000 * i + j, " ".join("".join(r.choice(a) for _ in range(5)) for _ in range(40)), f"l{i:03d}") for i, a in enumerate(alphabets) for j in range(6)]
+    rows.append((10**7, "långt " * 4000, "long"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in langid.identify(df, max_chars=3_000_000).collect()}
+    assert len({x.lang_pred for x in got.values()}) >= 295
+    assert np.mean([got[i].lang_pred == lang for i, _, lang in rows if got[i].held_out]) > 0.95 and got[10**7].lang_pred == "long"
+
+
+def _plain_kneser_ney(texts, word):
+    """Interpolated Kneser-Ney by its formula, with dictionaries of symbol tuples; minus log probability of a word."""
+    edge, order = "^", langid.ORDER
+    words = Counter(w for t in texts for w in t.lower().split())
+    counts = []
+    for n in range(1, order + 1):
+        raw, left = Counter(), {}
+        for w, c in words.items():
+            sym = (edge, *w, edge)
+            for i in range(1, len(sym)):
+                if i >= n - 1:
+                    gram = sym[i - n + 1 : i + 1]
+                    if n == order or i == n - 1:
+                        raw[gram] += c
+                    else:
+                        left.setdefault(gram, set()).add(sym[i - n])
+        for gram, before in left.items():
+            raw[gram] += len(before)
+        counts.append(raw)
+    alphabet = 1 + len({c for t in texts for c in t.lower() if not c.isspace()})
+    tables = []
+    for raw in counts:
+        ones, twos = sum(v == 1 for v in raw.values()), sum(v == 2 for v in raw.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        total, kinds = Counter(), Counter()
+        for gram, v in raw.items():
+            total[gram[:-1]] += v
+            kinds[gram[:-1]] += 1
+        tables.append((raw, d, total, kinds))
+    cost, sym = 0.0, (edge, *word, edge)
+    for i in range(1, len(sym)):
+        p = 1 / alphabet
+        for n in range(1, order + 1):
+            if i >= n - 1:
+                raw, d, total, kinds = tables[n - 1]
+                gram = sym[i - n + 1 : i + 1]
+                context = gram[:-1]
+                if total[context]:
+                    p = max(raw[gram] - d, 0) / total[context] * (gram in raw) + min(min(d, 1) * kinds[context] / total[context], 1) * p
+        cost -= np.log(p)
+    return cost
+
+
+def test_kneser_ney_against_plain_python():
+    texts = ["abab abba baab aabb bbaa ab ba abcab cabba", "cab bac abba abc acb bab"] * 2
+    fit = [t for i, t in enumerate(texts) if i % 4 != 3]
+    model = langid.build([("x", t) for t in texts])
+    words = ["a", "ab", "abba", "cabab", "zz", "bbbbbbb", "abcabcab"]
+    got, n = model.word_scores(words)
+    alphabet = 1 + len({c for t in texts for c in t if not c.isspace()})
+    assert model.base[0] == 1 / alphabet and n.tolist() == [len(w) + 1 for w in words]
+    assert np.allclose(got[:, 0], [_plain_kneser_ney(fit, w) for w in words])
+
+
+def test_language_ties_go_to_the_first():
+    model = langid.build([(lang, "abab abba ab") for lang in ("b", "a") for _ in range(8)])
+    ce, _ = langid.entropies(model, pa.array(["abba ab"]))
+    assert model.langs == ["a", "b"] and ce[0, 0] == ce[0, 1] and np.argmin(ce[0]) == 0
+
+
 def test_kneser_ney_sums_to_one():
     """After any context the probabilities of all next symbols, the word end included, add up to one."""
     model = langid.build([("x", "abab abba baab aabb bbaa ab ba")] * 8)
@@ -116,8 +204,8 @@ def _end(model, word):
     p = model.base[0]
     for n in range(1, langid.ORDER + 1):
         if len(sym) - 1 >= n - 1:
-            lam = model.lams[0][0, 0] if n == 1 else langid._lookup(model.ctxs[n - 1], model.lams[n - 1], g[n - 2][-2:-1], 1.0)[0, 0]
-            p = p * lam + langid._lookup(model.grams[n - 1], model.probs[n - 1], g[n - 1][-1:], 0.0)[0, 0]
+            context = g[n - 2][-2:-1] if n > 1 else np.zeros(1, np.uint64)
+            p = p * model.lams[n - 1].get(context, 1)[0, 0] + model.probs[n - 1].get(g[n - 1][-1:], 1)[0, 0]
     return -np.log(p)
 
 
