@@ -4,7 +4,8 @@ A candidate is a maximal run of ``[A-Za-z0-9+/_=.~-]`` of 16 or more characters
 (numpy) reads the candidate and the bytes around it: an embedding of bytes and an inside flag, one convolution, maximum
 and mean pooling, one output. Candidates beyond a window's length are read in overlapping windows and take the highest
 score. It is trained on labelled findings that ``labelled_findings`` makes from a seed; the threshold is the highest one
-that still finds ``recall`` of the held-back true findings, and the scores are calibrated on the same held-back part.
+that still finds ``recall`` of the true findings of one held-back part, and the scores are calibrated on another.
+Windows are scored in blocks of ``BLOCK``, so a long text takes no more memory than its bytes.
 Findings that touch a base span are not added again.
 
 Defined cases: a null text counts as empty and has no span. Repeated rows are each scanned; a null doc_id stays null.
@@ -38,7 +39,7 @@ _DIGIT = np.isin(_BYTES, list(b"0123456789"))
 _LETTER = ((_BYTES | 32) >= 97) & ((_BYTES | 32) <= 122) & (_BYTES < 128)
 _RUN = _DIGIT | _LETTER | np.isin(_BYTES, list(b"+/_=.~-"))
 
-LEFT, RIGHT, WINDOW, STEP = 24, 8, 96, 64
+LEFT, RIGHT, WINDOW, STEP, BLOCK = 24, 8, 96, 64, 512
 EMBED, WIDTH, FILTERS = 8, 5, 24
 
 
@@ -84,22 +85,19 @@ def candidates(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[ok], ends[ok], doc[ok]
 
 
-def windows(flat: np.ndarray, lo: int, hi: int, start: int, end: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Bytes and inside flags of a candidate's windows within the text flat[lo:hi]."""
-    xs, ms = [], []
-    a, b = max(lo, start - LEFT), min(hi, end + RIGHT)
-    at = a
-    while True:
-        part = flat[at : min(b, at + WINDOW)].astype(np.int64)
-        x, m = np.full(WINDOW, 128), np.zeros(WINDOW)
-        x[: len(part)] = np.minimum(part, 127)
-        i = np.arange(at, at + len(part))
-        m[: len(part)] = (i >= start) & (i < end)
-        xs.append(x)
-        ms.append(m)
-        if at + WINDOW >= b:
-            return xs, ms
-        at += STEP
+def windows(flat: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, inside flags and candidate number of the windows of candidates start:end in texts lo:hi, by blocks of BLOCK windows."""
+    a, b = np.maximum(lo, start - LEFT), np.minimum(hi, end + RIGHT)
+    n = np.maximum(1, -(-(b - a - WINDOW) // STEP) + 1)
+    done = np.cumsum(n)
+    for first in range(0, int(done[-1]) if len(done) else 0, BLOCK):
+        at = np.arange(first, min(first + BLOCK, int(done[-1])))
+        of = np.searchsorted(done, at, "right")
+        begin = a[of] + (at - (done - n)[of]) * STEP
+        i = begin[:, None] + np.arange(WINDOW)
+        real = i < b[of][:, None]
+        x = np.where(real, np.minimum(flat[np.minimum(i, len(flat) - 1)], 127), 128)
+        yield x, (real & (i >= start[of][:, None]) & (i < end[of][:, None])).astype(float), of
 
 
 @dataclass
@@ -127,10 +125,18 @@ class Network:
     def score(self, x: np.ndarray, m: np.ndarray) -> np.ndarray:
         if not len(x):
             return np.zeros(0)
-        logit = np.concatenate([self.forward(x[i : i + 512], m[i : i + 512])[0] for i in range(0, len(x), 512)])
+        logit = np.concatenate([self.forward(x[i : i + BLOCK], m[i : i + BLOCK])[0] for i in range(0, len(x), BLOCK)])
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * logit + self.scale[1], -30, 30)))
 
 
+def scores(net: Network, flat: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The highest score of each candidate's windows; one block of windows is held at a time."""
+    out = np.zeros(len(start))
+    for x, m, of in windows(flat, lo, hi, start, end):
+        np.maximum.at(out, of, net.score(x, m))
+    return out
+
+
 def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
     """Left context, candidate, right context and label: generated secrets of many formats, and things like them."""
     r = np.random.default_rng(seed)
@@ -184,16 +190,16 @@ def train(n: int = 3000, recall: float = 0.98, seed: int = 17, epochs: int = 8)
     xs, ms, ys = [], [], []
     for left, value, right, y in rows:
         flat = np.frombuffer((left + value + right).encode(), np.uint8)
-        x, m = windows(flat, 0, len(flat), len(left), len(left) + len(value))
+        x, m, _ = next(windows(flat, *(np.array([v]) for v in (0, len(flat), len(left), len(left) + len(value)))))
         xs.append(x[0]), ms.append(m[0]), ys.append(y)
     x, m, y = np.array(xs), np.array(ms), np.array(ys, float)
-    held = np.arange(n) % 5 >= 3
+    held, last = np.arange(n) % 5 == 3, np.arange(n) % 5 == 4  # one part calibrates, the other sets the threshold
     r = np.random.default_rng(seed + 1)
     net = Network(r.normal(0, 0.5, (129, EMBED)), r.normal(0, 0.2, (WIDTH * (EMBED + 1), FILTERS)), np.zeros(FILTERS), r.normal(0, 0.2, 2 * FILTERS))
     params = ["embed", "conv", "bias", "out", "shift"]
     mom = {p: [np.zeros_like(np.asarray(getattr(net, p), float)) for _ in range(2)] for p in params}
     step = 0
-    fit = np.flatnonzero(~held)
+    fit = np.flatnonzero(~held & ~last)
     for _ in range(epochs):
         r.shuffle(fit)
         for i in range(0, len(fit), 64):
@@ -225,7 +231,7 @@ def train(n: int = 3000, recall: float = 0.98, seed: int = 17, epochs: int = 8)
         p = 1 / (1 + np.exp(-np.clip(a * logit + c, -30, 30)))
         a, c = a - 0.05 * np.mean((p - y[held]) * logit), c - 0.05 * np.mean(p - y[held])
     net.scale = (max(float(a), 0.05), float(c))
-    found = np.sort(net.score(x[held], m[held])[y[held] == 1])
+    found = np.sort(net.score(x[last], m[last])[y[last] == 1])
     net.threshold = float(found[int((1 - recall) * len(found))])
     return net
 
@@ -242,15 +248,7 @@ def scan(docs: DataFrame, findings: int = 3000, recall: float = 0.98, seed: int
             for s in slices(column(b, "text")):
                 base = base_spans(s)
                 starts, ends, doc = candidates(s)
-                xs, ms, of = [], [], []
-                for k, (lo, hi, d) in enumerate(zip(starts.tolist(), ends.tolist(), doc.tolist())):
-                    x, m = windows(s.flat, int(s.off[d]), int(s.off[d + 1]), lo, hi)
-                    xs += x
-                    ms += m
-                    of += [k] * len(x)
-                score = np.zeros(len(starts))
-                if xs:
-                    np.maximum.at(score, of, net.score(np.array(xs), np.array(ms)))
+                score = scores(net, s.flat, s.off[doc], s.off[doc + 1], starts, ends)
                 cp = s.code_points()
                 for d, found in base.items():
                     out[s.first + d] += [(a, k, e, 1.0, True) for a, k, e in found]

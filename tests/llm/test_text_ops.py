@@ -235,14 +235,46 @@ def test_secrets_base_and_network(spark):
     assert sum(x.n_model for x in rows) >= 1 and not any(x.n_model for x in secret_scan.digest(secret_scan.scan(frame(spark, [t for _, t in prose(5, 30)]))).collect())
 
 
+def test_network_spans_against_windows_one_by_one(spark):
+    """Every candidate by a plain pattern, every window cut out by itself: the spans and scores of the scan."""
+    net = secret_scan.train()
+    r = random.Random(6)
+    b62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = lambda n: "".join(r.choice(b62) for _ in range(n))
+    texts = [f"{left}{v}{right}" for left, v, right, _ in secret_scan.labelled_findings(60, 5)] + [f"key = {some(40)} and é {some(300)}\n{some(17)}", some(20_000), f"token={some(30)}"]
+    rows = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    hits = 0
+    for row in rows:
+        raw = texts[row.doc_id].encode()
+        base = [(x.start, x.end) for x in row.spans if x.base]
+        want = {}
+        for m in re.finditer(rb"[A-Za-z0-9+/_=.~-]{16,}", raw):
+            if not re.search(rb"[0-9]", m[0]) or not re.search(rb"[A-Za-z]", m[0]):
+                continue
+            a, b = max(0, m.start() - secret_scan.LEFT), min(len(raw), m.end() + secret_scan.RIGHT)
+            best = 0.0
+            for at in range(a, max(a + 1, b - secret_scan.WINDOW + secret_scan.STEP), secret_scan.STEP):
+                part = raw[at : min(b, at + secret_scan.WINDOW)]
+                x = np.array([[min(c, 127) for c in part] + [128] * (secret_scan.WINDOW - len(part))])
+                inside = np.array([[float(m.start() <= at + i < m.end()) if i < len(part) else 0.0 for i in range(secret_scan.WINDOW)]])
+                best = max(best, net.score(x, inside)[0])
+            at, to = len(raw[: m.start()].decode()), len(raw[: m.end()].decode())
+            if best >= net.threshold and not any(at < y and x < to for x, y in base):
+                want[at, to] = best
+        got = {(x.start, x.end): x.score for x in row.spans if not x.base}
+        hits += len(got)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert hits > 10
+
+
 def test_network_recall_on_fresh_findings():
     net = secret_scan.train()
     rows = secret_scan.labelled_findings(400, 99)
     hit = []
     for left, value, right, y in rows:
         flat = np.frombuffer((left + value + right).encode(), np.uint8)
-        x, m = secret_scan.windows(flat, 0, len(flat), len(left), len(left) + len(value))
-        hit.append((y, net.score(np.array(x), np.array(m)).max() >= net.threshold))
+        at = [np.array([v]) for v in (0, len(flat), len(left), len(left) + len(value))]
+        hit.append((y, secret_scan.scores(net, flat, *at)[0] >= net.threshold))
     assert np.mean([h for y, h in hit if y]) > 0.9 and np.mean([h for y, h in hit if not y]) < 0.1
 
 
