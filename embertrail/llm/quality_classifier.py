@@ -1,25 +1,27 @@
 """Quality classifier by co-training of two views.
 
 The content view reads the text: hashed words, hashed word shapes (runs of character classes), shares of character
-classes and the share of distinct words. The metadata view reads what a page's record says: source, language, length,
-number of lines. Both are logistic regressions in numpy. In each round each view labels the unlabelled pool, and its
-most confident labels, balanced as the labelled part is, join the other view's training rows. After the rounds each
-view is calibrated (Platt) on labelled rows kept out of training, and a last logistic regression on the same rows
-weighs the two calibrated views. A document is kept from a threshold on that spares ``spare`` of the good held-out
-rows (0.5 at most).
-
-Fitting uses a bounded sample: the ``max_labelled`` labelled documents and the ``max_pool`` others of lowest hash, of at
-most ``max_chars`` characters each. Every whole text is scored.
-
-Defined cases: a null text counts as empty; null source and lang are values of their own; several labels of one doc_id
-count as the lowest; a null label or doc_id teaches nothing. Without labels of both kinds everything is kept with
-score 1. Repeated rows are each scored. All columns of the input are returned, with p_content, p_meta, score and kept
-(replaced, should the input have such columns).
+classes and the share of distinct words. The metadata view reads the page's record and nothing of the text: source,
+language and the recorded length. Both are logistic regressions in numpy. In each round both views label every document;
+of the documents a view is sure about, a bounded number of either label, balanced as the labelled part is, joins the
+training rows of the other view. After the rounds each view is calibrated (Platt) on labelled rows kept out of training,
+and a last logistic regression on the same rows weighs the two calibrated views. A document is kept from a threshold on
+that spares ``spare`` of the good held-out rows (0.5 at most).
+
+What is fitted on is bounded: ``max_labelled`` labelled documents, and ``max_pseudo`` pseudo-labelled ones a view and
+round, those of lowest hash. Every document stands as a candidate for a pseudo-label in every round, and every whole text
+is scored. Only the features of the rows that are fitted on reach the driver, at most some 33000 numbers a row.
+
+Defined cases: a null text counts as empty; null source, lang and n_chars (or no such column) are values of their own;
+several labels of one doc_id count as the lowest, and of several texts under a labelled doc_id the one of lowest hash is
+fitted on; a null label or doc_id teaches nothing. Without labels of both kinds everything is kept with score 1. Repeated
+rows are each scored. All columns of the input are returned, with p_content, p_meta, score and kept (replaced, should the
+input have such columns).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Slice, column, slices, span_hashes
+from .common import Slice, column, cut, drop, slices, span_hashes
 from .quality_rules import CLASSES, N_CLASSES, class_counts, plain_words
 
 BUCKETS, META = 1 << 15, 256
@@ -89,15 +91,15 @@ def content(s: Slice) -> Rows:
     return Rows(s.n, np.concatenate([row, r]), np.concatenate([col, BUCKETS + c]), np.concatenate([val, dense[r, c]]))
 
 
-def metadata(s: Slice, source: list, lang: list) -> Rows:
-    cp = s.code_points()
-    chars = np.log1p(cp[s.off[1:]] - cp[s.off[:-1]])
-    lines = np.log1p(np.diff(s.lines()[2]))
+def metadata(source: list, lang: list, n_chars: list) -> Rows:
+    """Features of the page's record: one of its source, one of its language, and its recorded length."""
+    n = len(source)
     hot = lambda kind, x: crc32(f"{kind}={x}".encode()) % (META - 8)
-    i = np.arange(s.n)
+    known = np.array([x is not None for x in n_chars], float).reshape(n)
+    chars = np.log1p(np.array([max(0, x or 0) for x in n_chars], float)).reshape(n) / 4
     cols = [np.array([hot("source", x) for x in source], np.int64), np.array([hot("lang", x) for x in lang], np.int64)]
-    dense = [chars / 4, lines / 2, chars / (1 + lines), np.ones(s.n), (chars / 4) ** 2]
-    return Rows(s.n, np.tile(i, 7), np.concatenate([*cols, *[np.full(s.n, META - 8 + k) for k in range(5)]]), np.concatenate([np.ones(2 * s.n), *dense]))
+    dense = [chars, chars**2, 1 - known, np.ones(n)]
+    return Rows(n, np.tile(np.arange(n), 6), np.concatenate([*cols, *[np.full(n, META - 8 + k) for k in range(4)]]), np.concatenate([np.ones(2 * n), *dense]))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -137,28 +139,29 @@ class Model:
         return _sigmoid(z[0]), _sigmoid(z[1]), _sigmoid(np.column_stack([*z, np.ones(len(z[0]))]) @ self.mix)
 
 
-def co_train(xs: list[Rows], y: np.ndarray, pool: list[Rows], rounds: int, spare: float, sure: float, share: float) -> Model | None:
-    """xs: both views of the labelled rows; every fourth of them only calibrates."""
+#: Both views of some rows, and their labels.
+Marked = tuple[list[Rows], np.ndarray]
+
+
+def co_train(xs: list[Rows], y: np.ndarray, exchange: Callable[[list[np.ndarray], float], list[Marked]], rounds: int, spare: float) -> Model | None:
+    """xs: both views of the labelled rows; every fourth of them only calibrates.
+
+    exchange gives, for both views' weights and the share of good rows, what each of them pseudo-labels.
+    """
     held = np.arange(len(y)) % 4 == 3
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         return None
     dims = [BUCKETS + N_CLASSES + 2, META]
     fit_rows = [x.take(np.flatnonzero(~held)) for x in xs]
-    train_x, train_y = list(fit_rows), [y[~held], y[~held]]
-    good = y[~held].mean()
-    views = [fit(x, t, d) for x, t, d in zip(train_x, train_y, dims)]
-    for _ in range(rounds if pool[0].n else 0):
-        p = [_sigmoid(u.dot(w)) for u, w in zip(pool, views)]
-        for i in (0, 1):
-            n = max(1, int(share * pool[0].n))
-            order = np.argsort(p[i], kind="stable")
-            low = [k for k in order[: max(1, int(n * (1 - good)))] if p[i][k] <= 1 - sure]
-            high = [k for k in order[::-1][: max(1, int(n * good))] if p[i][k] >= sure]
-            new = np.array(low + high, np.int64)
-            if len(new):
-                train_x[1 - i] = Rows.join([fit_rows[1 - i], pool[1 - i].take(new)])
-                train_y[1 - i] = np.concatenate([y[~held], np.repeat([0.0, 1.0], [len(low), len(high)])])
-        views = [fit(x, t, d) for x, t, d in zip(train_x, train_y, dims)]
+    train = [(x, y[~held]) for x in fit_rows]
+    good = float(y[~held].mean())
+    views = [fit(x, t, d) for (x, t), d in zip(train, dims)]
+    for _ in range(rounds):
+        for i, (rows, marks) in enumerate(exchange(views, good)):
+            other = 1 - i
+            if len(marks):
+                train[other] = (Rows.join([fit_rows[other], rows[other]]), np.concatenate([y[~held], marks]))
+        views = [fit(x, t, d) for (x, t), d in zip(train, dims)]
     kept_out = [x.take(np.flatnonzero(held)) for x in xs]
     raw = [x.dot(w) for x, w in zip(kept_out, views)]
     platt = [_logistic(z[:, None], y[held]) for z in raw]
@@ -168,12 +171,44 @@ def co_train(xs: list[Rows], y: np.ndarray, pool: list[Rows], rounds: int, spare
     return model
 
 
-def _features(text: pa.Array, source: list, lang: list) -> list[Rows]:
-    both = [(content(s), metadata(s, source[s.first : s.first + s.n], lang[s.first : s.first + s.n])) for s in slices(text)]
-    if not both:
-        z = np.zeros(0, np.int64)
-        return [Rows(0, z, z, np.zeros(0))] * 2
-    return [Rows.join([b[i] for b in both]) for i in (0, 1)]
+def _views(b: pa.RecordBatch) -> Iterator[tuple[Slice, list[Rows]]]:
+    """The slices of a batch with both views of their rows."""
+    record = [column(b, c).to_pylist() for c in ("source", "lang", "n_chars")]
+    for s in slices(column(b, "text")):
+        yield s, [content(s), metadata(*[x[s.first : s.first + s.n] for x in record])]
+
+
+def _record(docs: DataFrame) -> DataFrame:
+    """doc_id, text, source, lang, n_chars and the hash that rows are drawn by."""
+    chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), chars.alias("n_chars"), F.xxhash64("doc_id", "text").alias("_h"))
+
+
+def _features(rows: DataFrame) -> dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]]:
+    """Per (doc_id, _h): features and values of both views. rows are few; one of equal ones is taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, views in _views(b):
+                cols = [column(b, "doc_id").slice(s.first, s.n), column(b, "_h").slice(s.first, s.n)]
+                for x in views:
+                    order = np.argsort(x.row, kind="stable")
+                    at = np.searchsorted(x.row[order], np.arange(s.n + 1))
+                    cols += [pa.array([v[order[i:j]].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()) for v in (x.col.astype("<i4"), x.val.astype("<f8"))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "_h", "c0", "v0", "c1", "v1"])
+
+    one = rows.groupBy("doc_id", "_h").agg(F.first("text").alias("text"), F.first("source").alias("source"), F.first("lang").alias("lang"), F.first("n_chars").alias("n_chars"))
+    got = one.mapInArrow(run, "doc_id long, _h long, c0 binary, v0 binary, c1 binary, v1 binary").collect()
+    return {(r["doc_id"], r["_h"]): [(np.frombuffer(r[c], "<i4").astype(np.int64), np.frombuffer(r[v], "<f8")) for c, v in (("c0", "v0"), ("c1", "v1"))] for r in got}
+
+
+def _stack(items: list[list[tuple[np.ndarray, np.ndarray]]]) -> list[Rows]:
+    out = []
+    for i in (0, 1):
+        row = np.repeat(np.arange(len(items)), [len(x[i][0]) for x in items])
+        flat = lambda k: np.concatenate([x[i][k] for x in items]) if items else np.zeros(0)  # noqa: B023, E731
+        out.append(Rows(len(items), row, flat(0).astype(np.int64), flat(1)))
+    return out
 
 
 def _bounded(ids: DataFrame, most: int) -> DataFrame:
@@ -183,18 +218,72 @@ def _bounded(ids: DataFrame, most: int) -> DataFrame:
     return ids.withColumn("_h", F.xxhash64("doc_id")).where(F.col("_h") <= F.lit(min(cut_at, 2**63 - 1))).orderBy("_h", "doc_id").limit(most).drop("_h")
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int, max_pool: int, max_chars: int, rounds: int, spare: float, sure: float, share: float) -> Model | None:
-    some = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
+def confident(record: DataFrame, views: list[np.ndarray], known: np.ndarray, sure: float, most: int) -> list[tuple[int, float, int, int]]:
+    """view, label, doc_id and hash of the documents a view is sure about: the most of lowest hash, per view and label.
+
+    Every document is scored. A task hands on the rows of lowest hash that it has, as many as are wanted in all, and the
+    number of all that it has; so what is left is the lowest of the whole table, and few rows travel.
+    """
+    shared = record.sparkSession.sparkContext.broadcast((views, np.sort(known)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, skip = shared.value
+        best = {(i, y): (np.zeros((0, 2), np.int64), 0) for i in (0, 1) for y in (0, 1)}
+        for b in batches:
+            ids, h = column(b, "doc_id").fill_null(0).to_numpy(), column(b, "_h").to_numpy()
+            free = ~np.isin(ids, skip) & ~column(b, "doc_id").is_null().to_numpy(zero_copy_only=False)
+            for s, xs in _views(b):
+                at = slice(s.first, s.first + s.n)
+                for i in (0, 1):
+                    p = _sigmoid(xs[i].dot(weights[i]))
+                    for y, ok in ((0, p <= 1 - sure), (1, p >= sure)):
+                        ok &= free[at]
+                        rows, n = best[i, y]
+                        rows = np.unique(np.concatenate([rows, np.column_stack([h[at][ok], ids[at][ok]])]), axis=0)[:most]
+                        best[i, y] = (rows, n + int(ok.sum()))
+        for (i, y), (rows, n) in best.items():
+            k = len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([i] * (k + 1), pa.int32()), pa.array([y] * (k + 1), pa.int32()), pa.array([*rows[:, 1].tolist(), None], pa.int64()), pa.array([*rows[:, 0].tolist(), n], pa.int64())], ["view", "label", "doc_id", "h"])
+
+    table = cut(record.mapInArrow(run, "view int, label int, doc_id long, h long"), "confident")
+    totals = {(r["view"], r["label"]): r["n"] for r in table.where("doc_id is null").groupBy("view", "label").agg(F.sum("h").alias("n")).collect()}
+    out = []
+    for (i, y), n in sorted(totals.items()):
+        own = table.where((F.col("view") == i) & (F.col("label") == y) & F.col("doc_id").isNotNull()).select("h", "doc_id").distinct()
+        # Hashes are even: this share holds as many as are wanted, unless rows repeat much; then all are looked at.
+        limit = -(2**63) + int(min(1.0, (2.0 * most + 64) / max(1, n)) * (2**64 - 1))
+        rows = own.where(F.col("h") <= F.lit(min(limit, 2**63 - 1))).orderBy("h", "doc_id").limit(most).collect()
+        if len(rows) < min(most, n):
+            rows = own.orderBy("h", "doc_id").limit(most).collect()
+        out += [(i, float(y), r["doc_id"], r["h"]) for r in rows]
+    drop(table)
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int, max_pseudo: int, rounds: int, spare: float, sure: float) -> Model | None:
+    spark = docs.sparkSession
+    record = _record(docs)
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("double").alias("_y"))
-    rows = some.join(F.broadcast(_bounded(marks, max_labelled)), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    if rows.empty:
+    marks = F.broadcast(_bounded(marks, max_labelled))
+    least = record.select("doc_id", "_h").join(marks, "doc_id").groupBy("doc_id").agg(F.min("_h").alias("_h"), F.min("_y").alias("_y")).collect()
+    if not least:
         return None
-    pool = some.join(F.broadcast(_bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null"), max_pool)), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    pool = pool[~pool["doc_id"].isin(rows["doc_id"])]
-    order = np.argsort([crc32(str(i).encode()) for i in rows["doc_id"]], kind="stable")
-    rows = rows.iloc[order]
-    make = lambda d: _features(pa.array(d["text"].tolist(), pa.string()), d["source"].tolist(), d["lang"].tolist())
-    return co_train(make(rows), rows["_y"].to_numpy(), make(pool), rounds, spare, sure, share)
+    wanted = lambda rows: F.broadcast(spark.createDataFrame(rows, "doc_id long, _h long"))
+    got = _features(record.join(wanted([(r["doc_id"], r["_h"]) for r in least]), ["doc_id", "_h"]))
+    order = sorted(least, key=lambda r: (crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    known = np.array([r["doc_id"] for r in order], np.int64)
+
+    def exchange(views: list[np.ndarray], good: float) -> list[Marked]:
+        sure_rows = confident(record, views, known, sure, max_pseudo)
+        most = {1.0: max(1, int(good * max_pseudo)), 0.0: max(1, int((1 - good) * max_pseudo))}
+        taken = [[r for y in (0.0, 1.0) for r in [x for x in sure_rows if x[0] == i and x[1] == y][: int(most[y])]] for i in (0, 1)]
+        keys = {(r[2], r[3]) for rows in taken for r in rows}
+        if not keys:
+            return [([], np.zeros(0))] * 2
+        have = _features(record.join(wanted(sorted(keys)), ["doc_id", "_h"]))
+        return [(_stack([have[r[2], r[3]] for r in rows]), np.array([r[1] for r in rows])) for rows in taken]
+
+    return co_train(_stack([got[r["doc_id"], r["_h"]] for r in order]), np.array([r["_y"] for r in order]), exchange, rounds, spare)
 
 
 def classify(
@@ -202,15 +291,13 @@ def classify(
     labels: DataFrame,
     label: str = "quality",
     max_labelled: int = 3000,
-    max_pool: int = 3000,
-    max_chars: int = 100_000,
-    rounds: int = 3,
+    max_pseudo: int = 1200,
+    rounds: int = 2,
     spare: float = 0.995,
     sure: float = 0.95,
-    share: float = 0.2,
 ) -> DataFrame:
-    """docs (doc_id, text, source, lang and more) with p_content, p_meta, score and kept; labels: doc_id and label."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label, max_labelled, max_pool, max_chars, rounds, spare, sure, share))
+    """docs (doc_id, text, source, lang, n_chars and more) with p_content, p_meta, score and kept; labels: doc_id and label."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label, max_labelled, max_pseudo, rounds, spare, sure))
     new = ["p_content", "p_meta", "score", "kept"]
     names = [c for c in docs.columns if c not in new]
     fields = [*docs.select(*names).schema.fields, *[T.StructField(c, T.DoubleType()) for c in new[:3]], T.StructField("kept", T.BooleanType())]
@@ -220,10 +307,9 @@ def classify(
         for b in batches:
             parts = [np.ones(b.num_rows) for _ in range(3)]
             if model is not None:
-                source, lang = column(b, "source").to_pylist(), column(b, "lang").to_pylist()
-                for s in slices(column(b, "text")):
-                    got = model.score([content(s), metadata(s, source[s.first : s.first + s.n], lang[s.first : s.first + s.n])])
-                    for p, g in zip(parts, got):
+                own = pa.RecordBatch.from_arrays([column(b, "text"), *[column(b, c) if c in names else pa.nulls(b.num_rows) for c in ("source", "lang", "n_chars")]], ["text", "source", "lang", "n_chars"])
+                for s, xs in _views(own):
+                    for p, g in zip(parts, model.score(xs)):
                         p[s.first : s.first + s.n] = g
             kept = parts[2] >= (model.threshold if model is not None else 0.0)
             yield pa.RecordBatch.from_arrays([*[column(b, c) for c in names], *[pa.array(p) for p in parts], pa.array(kept)], [*names, *new])

@@ -413,6 +413,56 @@ def test_classifier_held_out(spark):
     assert all(x.kept for x in quality_classifier.classify(docs, labels.limit(0)).collect())
 
 
+def test_classifier_views_against_plain_python():
+    """Features of single texts by dictionaries; nothing of the text reaches the metadata view."""
+    from embertrail.llm.common import slices as cut_up
+
+    for text in [t or "" for t in ODD] + [prose(3, 1, 50)[0][1]]:
+        s = next(cut_up(pa.array([text])))
+        x = quality_classifier.content(s)
+        words = [w[:-1] if len(w) > 1 and w[-1] in ".,:;!?\"'" else w for w in WORD.findall(text)]
+        low = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+        half = quality_classifier.BUCKETS // 2
+        word = lambda w: int(span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) % half
+        want = {f: (n / len(words)) ** 0.5 for f, n in Counter(map(word, low)).items()}
+        got = {int(c): v for c, v in zip(x.col, x.val) if c < half}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        shapes = [v for c, v in zip(x.col, x.val) if half <= c < 2 * half]
+        assert abs(sum(shapes) - (2 if words else 0)) < 1e-9
+    a, b = (quality_classifier.metadata(["s", None], ["en", "de"], [n, None]) for n in (120, 7))
+    assert a.n == 2 and (a.col == b.col).all() and sorted(a.val[a.row == 1]) == sorted(b.val[b.row == 1])
+
+
+def test_classifier_pseudo_labels_are_the_lowest_of_all(spark):
+    docs = spark.createDataFrame([(i if i % 50 else None, t, lang, f"s{i % 3}", len(t)) for i, (lang, t) in enumerate(prose(21, 400, 30))], "doc_id long, text string, lang string, source string, n_chars int")
+    r = np.random.default_rng(3)
+    views = [r.normal(0, 3, quality_classifier.BUCKETS + quality_classifier.N_CLASSES + 2), r.normal(0, 1, quality_classifier.META)]
+    record = quality_classifier._record(docs)
+    known = np.array([7, 8, 9])
+    rows = record.collect()
+    xs = next(quality_classifier._views(pa.RecordBatch.from_pylist([x.asDict() for x in rows])))[1]
+    want = []
+    for i in (0, 1):
+        p = quality_classifier._sigmoid(xs[i].dot(views[i]))
+        for y in (0, 1):
+            own = sorted((x["_h"], x["doc_id"]) for x, q in zip(rows, p) if x["doc_id"] is not None and x["doc_id"] not in known and (q >= 0.9 if y else q <= 0.1))
+            want += [(i, float(y), d, h) for h, d in own[:15]]
+    for n in (1, 9):
+        assert quality_classifier.confident(record.repartition(n), views, known, 0.9, 15) == want
+    assert len(want) > 20
+
+
+def test_classifier_reruns_agree(spark):
+    rows = [(i, t if i % 9 else None, lang, f"s{i % 4}", len(t)) for i, (lang, t) in enumerate(prose(11, 150, 40))] + [(i, " ".join(w.upper() + "!!" for w in t.split()), lang, "s1", len(t)) for i, (lang, t) in enumerate(prose(12, 60, 40), 1000)]
+    rows += [(3, "another text of three", "en", "s0", 5), (3, "another text of three", "en", "s0", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, *_ in rows if i % 2], "doc_id long, quality int")
+    one, two = (Counter((x.doc_id, x.text, round(x.score, 9), x.kept) for x in quality_classifier.classify(docs.repartition(n), labels).collect()) for n in (1, 11))
+    assert one == two and sum(one.values()) == len(rows)
+    empty = quality_classifier.classify(docs.limit(0), labels)
+    assert empty.count() == 0 and empty.columns[-4:] == ["p_content", "p_meta", "score", "kept"]
+
+
 def test_encoder_and_packing(spark):
     path = packing.tokenizer_path()
     texts = [t or "" for t in ODD] + ["don't <|endoftext|> I'M é ́a ΣΑΣ", "a\x1cb c", *[t for _, t in prose(13, 40, 300)], "long words " * 6000]
