@@ -400,6 +400,64 @@ def test_surrogates(spark):
     assert pii.replace(df.limit(0)).count() == 0
 
 
+def _mod97(x):
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def test_surrogates_keep_script_gender_and_coreference(spark):
+    texts = [
+        "Dr Παπαδόπουλος met Ms Xyla Berg.", "Dr Xyla Berg and Prof. Xyla Stone", "Dear Greta Lindholm, Priya Raman wrote. Later Lindholm left, and Priya stayed.", "Dr 王伟 saw Dr משה",
+        "pay DE89370400440532013000 or GB82 WEST 1234 5698 7654 32 or DE11370400440532013000", "Mr Berg here, Bergen there, Berg again.", "Berg stands alone here", "Ms Maria Ελένη",
+    ]
+    out = {x.doc_id: x.text for x in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    greek, xyla, berg = re.fullmatch(r"Dr (\w+) met Ms ([\w-]+) (\w+)\.", out[0]).groups()
+    assert re.fullmatch("[Α-Ωα-ωά-ώ]+", greek) and greek != "Παπαδόπουλος"
+    again, stone = re.fullmatch(rf"Dr ([\w-]+) {berg} and Prof\. ([\w-]+) (\w+)", out[1]).group(1, 3)
+    assert again == xyla and xyla in pii.GIVEN["f", "latin"] and stone != berg
+    assert not any(w in out[2] for w in ("Greta", "Lindholm", "Priya", "Raman"))
+    greta, lind, priya, raman, lind2, priya2 = re.fullmatch(r"Dear ([\w-]+) (\w+), ([\w-]+) (\w+) wrote\. Later (\w+) left, and ([\w-]+) stayed\.", out[2]).groups()
+    assert lind == lind2 and priya == priya2 and {greta, priya} <= {*pii.GIVEN["f", "latin"]}
+    assert re.fullmatch(r"Dr [\u4e00-\u9fff]{2} saw Dr [\u0590-\u05ff]{3}", out[3]) and "王伟" not in out[3]
+    one, two, three = re.fullmatch(r"pay (DE\d{20}) or (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) or (DE\d{20})", out[4]).groups()
+    assert _mod97(one) == 1 == _mod97(two.replace(" ", "")) and _mod97(three) != 1 and one != "DE89370400440532013000"
+    assert out[5] == f"Mr {berg} here, Bergen there, {berg} again." and out[6] == texts[6]
+
+
+@pytest.mark.parametrize("kind", ["mail", "address"])
+def test_surrogates_end_where_a_format_is_too_small(spark, kind):
+    """More entities than the format has members; each distinct, none an entity itself."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    values = [f"{a}@{b}.{t}" for a in letters for b in letters for t in ("de", "fr")] if kind == "mail" else [f"192.168.{i}.{j}" for i in range(200) for j in range(1, 201)]
+    out = pii.replace(spark.createDataFrame([(i, f"at {v} now") for i, v in enumerate(values)], "doc_id long, text string")).collect()
+    new = {x.doc_id: x.text[3:-4] for x in out}
+    assert len(set(new.values())) == len(values) and not set(new.values()) & set(values)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.example\.org" if kind == "mail" else r"(192\.168|10\.\d+)\.\d+\.\d+", v) for v in new.values())
+
+
+def test_surrogates_against_a_plain_replacement(spark):
+    """Every mention replaced one by one with Python's own loops, by the map that the corpus implies."""
+    r = random.Random(8)
+    made = lambda: r.choice([f"{r.randrange(100, 999)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}", f"u{r.randrange(40)}@site{r.randrange(5)}.net", f"+49 30 {r.randrange(1000, 1100)} 77", f"8.8.{r.randrange(4)}.{r.randrange(9)}"])
+    texts = [" ".join(r.choice(["word", "other", "x word", f"x {made()} word"]) for _ in range(40)) for _ in range(60)]
+    out = {x.doc_id: x for x in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    known = re.compile(r"\d{3}-\d\d-\d{4}|u\d+@site\d\.net|\+49 30 \d{4} 77|8\.8\.\d\.\d")
+    image = {}
+    for i, t in enumerate(texts):
+        old = known.findall(t)
+        assert out[i].n_entities == len(old) and out[i].n_distinct == len(set(old))
+        pieces = known.split(t)
+        rest = out[i].text
+        for n, m in enumerate(old):
+            assert rest.startswith(pieces[n])
+            rest = rest[len(pieces[n]) :]
+            size = rest.index(pieces[n + 1], 1) if pieces[n + 1] else len(rest)
+            image.setdefault(m, set()).add(rest[:size])
+            rest = rest[size:]
+    assert image and all(len(v) == 1 for v in image.values())
+    values = [next(iter(v)) for v in image.values()]
+    assert len(set(values)) == len(values) and not set(values) & set(image)
+
+
 def test_classifier_held_out(spark):
     good = [(i, t, lang, f"s{i % 4}") for i, (lang, t) in enumerate(prose(11, 240))]
     bad = [(1000 + i, " ".join(w.upper() + "!!" for w in t.split()), lang, f"s{i % 4}") for i, (lang, t) in enumerate(prose(12, 120))]
