@@ -31,8 +31,8 @@ from .common import cut, drop
 
 # Titles by gender, phrases that introduce a name, given names by gender and script, and the syllables and
 # letters that new names are made of.
-TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "κυρία"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "κύριος"], "u": ["Dr", "Prof"]}
-CUES = ["my name is", "My name is", "Name:", "name:", "Contact:", "contact:", "Attn:", "Dear", "Sincerely,", "sincerely,", "regards,", "Regards,", "signed by", "Signed by", "written by", "Written by", "Author:", "author:"]
+TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"], "u": ["Dr", "Prof"]}
+CUES = ["y name is", "ame:", "ontact:", "ttn:", "Dear", "incerely,", "egards,", "igned by", "ritten by", "uthor:"]  # without their first letter, capital or not
 GIVEN = {
     ("f", "latin"): ["Anna", "Maria", "Julia", "Laura", "Emma", "Sophie", "Clara", "Elena", "Sarah", "Alice", "Nora", "Helen", "Ruth", "Ingrid", "Camille", "Lucia", "Paula", "Marta", "Irene", "Teresa", "Greta", "Priya", "Astrid", "Amina", "Fatima", "Aisha", "Leila", "Yuki", "Mei", "Chiara", "Giulia", "Francesca", "Isabel", "Carmen", "Karin", "Birgit", "Monika", "Petra", "Susan", "Karen", "Linda", "Barbara", "Jennifer", "Jessica", "Elizabeth", "Margaret", "Emily", "Olivia", "Charlotte", "Amélie", "Chloé", "Zoé"],
     ("m", "latin"): ["John", "Peter", "Michael", "Thomas", "Paul", "David", "Daniel", "Martin", "Robert", "James", "Carlos", "Pablo", "Pierre", "Louis", "Hans", "Karl", "Stefan", "Victor", "Oscar", "Simon", "William", "George", "Charles", "Henry", "Edward", "Joseph", "Richard", "Steven", "Kevin", "Brian", "Ahmed", "Mohammed", "Omar", "Hassan", "Raj", "Arjun", "Wei", "Hiroshi", "Kenji", "Lars", "Sven", "Erik", "Jürgen", "Klaus", "Wolfgang", "Giovanni", "Marco", "Luca", "Antoine", "François", "Miguel", "Javier"],
@@ -74,13 +74,10 @@ def _trie(words: list[str]) -> str:
     return "|".join(parts)
 
 
-def _starts(words: list[str]) -> str:
-    return "[" + "".join(sorted({w[0] for w in words})) + "]"
-
-
 _TITLE_WORDS = [t for ts in TITLES.values() for t in ts]
 _GIVEN_WORDS = [n for ns in GIVEN.values() for n in ns]
-_ANY_TITLE, _ANY_CUE, _ANY_GIVEN = _trie(_TITLE_WORDS), _trie(CUES), _trie(_GIVEN_WORDS)
+_ANY_TITLE, _ANY_GIVEN = _trie(_TITLE_WORDS), _trie(_GIVEN_WORDS)
+_AFTER_CUE = rf"(?<=(?:{'|'.join(CUES)}) )"
 _NAME = r"(?:\p{Lu}[\p{L}'’-]+|\p{Lo}[\p{L}\p{M}]*)"
 # Each pattern begins with the characters it can begin with, so that other places of a text cost one test.
 PATTERNS = {
@@ -90,11 +87,11 @@ PATTERNS = {
     "phone": r"(?=[\d+(])(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\d)",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?=\d)(?<![\p{L}\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\p{L}\d-])",
-    "person": rf"(?={_starts(_TITLE_WORDS + CUES + _GIVEN_WORDS)})(?<![\p{{L}}\p{{N}}])(?:(?:(?:{_ANY_CUE}) )?(?:{_ANY_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}|(?:{_ANY_CUE}) {_NAME}(?: {_NAME}){{1,2}}|(?:{_ANY_GIVEN})(?: {_NAME}){{1,2}})",
+    "person": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{_ANY_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}|{_AFTER_CUE}{_NAME}(?: {_NAME}){{1,2}}|(?:{_ANY_GIVEN})(?: {_NAME}){{1,2}})",
 }
 FOUND = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without any of this cannot hold an entity.
-HINT = rf"[0-9@]|(?={_starts(_TITLE_WORDS + CUES + _GIVEN_WORDS)})(?:{_trie(_TITLE_WORDS + CUES + _GIVEN_WORDS)})"
+HINT = rf"[0-9@]|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:{_trie(_TITLE_WORDS + _GIVEN_WORDS)}|{_AFTER_CUE})"
 _PART = "array<struct<kind:string,value:string,gender:string>>"
 _WORD = r"(\p{L}[\p{L}\p{M}'’-]*)"
 
@@ -118,8 +115,8 @@ def _kind(m: Column) -> Column:
 
 
 def _title(m: Column) -> Column:
-    """What stands before the names of a person: a phrase, a title, both or nothing."""
-    return F.regexp_extract(m, rf"^((?:(?:{_ANY_CUE}) )?(?:(?:{_ANY_TITLE})\.? )?)", 1)
+    """The title before the names of a person, or nothing."""
+    return F.regexp_extract(m, rf"^((?:{_ANY_TITLE})\.? )", 1)
 
 
 def _gender(title: Column) -> Column:
