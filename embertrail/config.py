@@ -8,14 +8,20 @@ from pathlib import Path
 
 import yaml
 
-# The columns of the event header, by path, and where channel, event id and time are looked for.
-SYSTEM_FIELDS = {
-    "Event.System.EventID": "EventID", "Event.System.EventID.#text": "EventID", "Event.System.Channel": "Channel", "Event.System.Computer": "Computer", "Event.System.EventRecordID": "EventRecordID",
-    "Event.System.Level": "Level", "Event.System.Task": "Task", "Event.System.Opcode": "Opcode", "Event.System.Keywords": "Keywords", "Event.System.Version": "Version",
-    "Event.System.TimeCreated.#attributes.SystemTime": "SystemTime", "Event.System.Provider.#attributes.Name": "Provider_Name", "Event.System.Provider.#attributes.Guid": "Provider_Guid",
-    "Event.System.Execution.#attributes.ProcessID": "Execution_ProcessID", "Event.System.Execution.#attributes.ThreadID": "Execution_ThreadID", "Event.System.Security.#attributes.UserID": "Security_UserID",
-    "Event.System.Correlation.#attributes.ActivityID": "Correlation_ActivityID", "Event.EventData.TargetFilename": "TargetFileName", "winlog.channel": "Channel", "winlog.event_id": "EventID",
-    "winlog.computer_name": "Computer", "@timestamp": "SystemTime", "host.name": "Computer",
+# The paths whose column is not the last part of the path (letters and digits only); for all other paths that
+# rule gives the column. Then where channel, event id and time are looked for.
+RENAMED = {
+    "Event.System.EventID.#text": "EventID", "Event.System.Provider.#attributes.Name": "Provider_Name", "Event.EventData.TargetFilename": "TargetFileName", "Event.EventData.SamAccountName": "SAMAccountName",
+    "Event.EventData.Data.#text": "Message", "dns.question.name": "QueryName", "dns.question.registered_domain": "QueryName", "dns.answers.data": "QueryResults", "dns.resolved_ip": "DestinationIp",
+    "network.protocol": "Protocol", "file.code_signature.subject_name": "Signature", "file.code_signature.status": "SignatureStatus", "file.code_signature.valid": "Signed", "file.pe.imphash": "Imphash",
+    "file.pe.original_file_name": "OriginalFileName", "file.path": "TargetFilename", "file.name": "TargetFileName", "file.directory": "TargetFilename", "process.command_line": "CommandLine",
+    "process.executable": "Image", "process.name": "ProcessName", "process.pid": "ProcessId", "process.entity_id": "ProcessGuid", "process.working_directory": "CurrentDirectory", "process.args": "ProcessArgs",
+    "process.parent.command_line": "ParentCommandLine", "process.parent.executable": "ParentImage", "process.parent.name": "ParentProcessName", "process.parent.pid": "ParentProcessId",
+    "process.parent.entity_id": "ParentProcessGuid", "process.hash.md5": "MD5", "process.hash.sha1": "SHA1", "process.hash.sha256": "SHA256", "process.hash.imphash": "Imphash",
+    "hash.md5": "MD5", "hash.sha1": "SHA1", "hash.sha256": "SHA256", "hash.imphash": "Imphash", "user.name": "User", "user.domain": "UserDomain", "user.id": "UserSid", "host.name": "Computer",
+    "host.hostname": "ComputerName", "event.code": "EventID", "event.action": "EventType", "event.provider": "Provider_Name", "event.created": "EventTime", "winlog.channel": "Channel",
+    "winlog.event_id": "EventID", "winlog.computer_name": "Computer", "winlog.provider_name": "Provider_Name", "winlog.provider_guid": "Guid", "winlog.record_id": "EventRecordID", "winlog.task": "Task",
+    "winlog.opcode": "Opcode", "winlog.event_data.TargetFilename": "TargetFileName",
 }
 CHANNEL_PATHS = ["Event.System.Channel", "Channel", "winlog.channel"]
 EVENTID_PATHS = ["Event.System.EventID", "EventID", "winlog.event_id"]
@@ -26,7 +32,7 @@ TIME_PATHS = ["SystemTime", "UtcTime", "TimeCreated", "timestamp", "@timestamp",
 class Mapping:
     """paths ending in the name of an event field need no entry: the last part of a path, letters and digits only, is its column."""
 
-    fields: dict[str, str] = field(default_factory=lambda: dict(SYSTEM_FIELDS))
+    fields: dict[str, str] = field(default_factory=lambda: dict(RENAMED))
     exclusions: list[str] = field(default_factory=lambda: ["xmlns"])
     useless: list = field(default_factory=lambda: [None, ""])
     alias: dict[str, list[str]] = field(default_factory=dict)

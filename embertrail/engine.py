@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import Mapping
@@ -41,6 +43,9 @@ class Engine:
         if fmt == "saved":
             self.logs = events
         else:
+            if self.time_field:  # the found or given time field comes first; its column has letters and digits only
+                own = self.mapping.fields.get(self.time_field) or "".join(c for c in self.time_field if c.isalnum())
+                self.mapping = dataclasses.replace(self.mapping, time_fields=[own, *[t for t in self.mapping.time_fields if t != own]])
             self.logs = flatten(events, self.mapping, hashes, event_filter=R.EventFilter.of(self.rules) if filter_early else None, after=after, before=before)
         return self
 

@@ -1,7 +1,7 @@
 """Run a ruleset over the log table in one pass.
 
 Every statement of every rule becomes one Boolean column over the same scan. Rules that require a value of the log
-source column are dispatched by it: their predicates are evaluated only for rows of that value. Within a branch the
+source column are dispatched by it inside the projection: their predicates are evaluated only for rows of that value. The
 folded text of each column is computed once, the hits are collected into one string and split into rows. A statement
 that cannot match this data (a missing column) is left out and reported.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,16 +53,27 @@ class Detections:
         return self.counts().join(rows.groupBy("rule_idx").agg(F.collect_list("_row").alias("matches")), "rule_idx")
 
 
-def _hits(df: DataFrame, statements: list[tuple[int, int, object]], wide: int) -> DataFrame:
-    """rule_idx, query_idx and all columns, for the rows of df that match; statements: rule, query, tree."""
+Statement = tuple[int, int, object]
+
+
+def _hits(df: DataFrame, groups: list[tuple[Column | None, list[Statement]]], wide: int) -> DataFrame:
+    """rule_idx, query_idx and all columns, for the rows of df that match.
+
+    groups: statements (rule, query, tree) with the condition on the log source that they need, if any. It stands in front
+    of a chunk of them, so their predicates are not looked at for other rows.
+    """
     fields = {f.name.lower(): f for f in df.schema.fields}
-    used = [fields[n.lower()] for n in dict.fromkeys(n for _, _, t in statements for n in P.names(t)) if n.lower() in fields]
+    trees = [t for _, ss in groups for _, _, t in ss]
+    used = [fields[n.lower()] for n in dict.fromkeys(n for t in trees for n in P.names(t)) if n.lower() in fields]
     folded = {f.name.lower(): f"_low{i}" for i, f in enumerate(used) if isinstance(f.dataType, T.StringType)}
     low = df.select("*", *[ascii_lower(F.col(f"`{f.name}`")).alias(folded[f.name.lower()]) for f in used if f.name.lower() in folded])
     c = P.Compiler(df.schema, folded)
-    chunks = [statements[i : i + wide] for i in range(0, len(statements), wide)]
-    marks = [F.concat_ws(",", *[F.when(c.condition(t), F.lit(f"{r}:{q}")) for r, q, t in chunk]) for chunk in chunks]
-    hit = low.select(*[F.col(f"`{x}`") for x in df.columns], F.concat_ws(",", *[F.nullif(m, F.lit("")) for m in marks]).alias("_hits")).where("_hits <> ''")
+    marks = []
+    for source, statements in groups:
+        for i in range(0, len(statements), wide):
+            mark = F.concat_ws(",", *[F.when(c.condition(t), F.lit(f"{r}:{q}")) for r, q, t in statements[i : i + wide]])
+            marks.append(F.nullif(mark if source is None else F.when(source, mark), F.lit("")))
+    hit = low.select(*[F.col(f"`{x}`") for x in df.columns], F.concat_ws(",", *marks).alias("_hits")).where("_hits <> ''")
     out = hit.select(F.explode(F.split("_hits", ",")).alias("_hit"), *[F.col(f"`{x}`") for x in df.columns])
     return out.select(F.split_part("_hit", F.lit(":"), F.lit(1)).cast("int").alias("rule_idx"), F.split_part("_hit", F.lit(":"), F.lit(2)).cast("int").alias("query_idx"), *[F.col(f"`{x}`") for x in df.columns])
 
@@ -70,7 +81,7 @@ def _hits(df: DataFrame, statements: list[tuple[int, int, object]], wide: int) -
 def detect(logs: DataFrame, rules: list[Rule], dispatch: str | None = "Channel", limit: int | None = None, wide: int = 50, scope: list[str] | None = None, time_field: str | None = None) -> Detections:
     """Run all rules. scope: columns added to the groups of correlations (per-file mode). dispatch: the log source column."""
     notes: list[str] = []
-    plain: list[tuple[int, int, object]] = []
+    plain: list[Statement] = []
     frames: list[DataFrame] = []
     for i, r in enumerate(rules):
         try:
@@ -87,25 +98,25 @@ def detect(logs: DataFrame, rules: list[Rule], dispatch: str | None = "Channel",
         except (P.Unsupported, P.NoRows) as e:
             notes.append(f"{r.title}: {e}")
     names = {c.lower(): c for c in logs.columns}
-    keyed: dict[str, list[tuple[int, int, object]]] = {}
-    rest: list[tuple[int, int, object]] = []
+    keyed: dict[str, list[Statement]] = {}
+    rest: list[Statement] = []
     for s in plain:
         keys = source_keys(s[2], dispatch) if dispatch and dispatch.lower() in names else None
         if keys is None:
             rest.append(s)
         for k in keys or []:
             keyed.setdefault(k, []).append(s)
-    if 1 < len(keyed) <= 64:
-        key = ascii_lower(F.col(f"`{names[dispatch.lower()]}`").cast("string"))
-        # Values with the same rules share a branch; a row is in one branch only, so nothing is found twice.
-        branches: dict[tuple, list[str]] = {}
+    groups: list[tuple[Column | None, list[Statement]]] = [(None, rest)] if rest else []
+    if keyed:
+        key = ascii_lower(F.col(f"`{names[dispatch.lower()]}`").cast("string"))  # type: ignore[union-attr]
+        # Values with the same rules share a group; a statement whose values differ in their rules stands in several, and a
+        # row has one value, so nothing is found twice.
+        same: dict[tuple, list[str]] = {}
         for k, ss in keyed.items():
-            branches.setdefault(tuple((r, q) for r, q, _ in ss), []).append(k)
-        frames += [_hits(logs.where(key.isin(ks)), keyed[ks[0]], wide) for ks in branches.values()]
-        if rest:
-            frames.append(_hits(logs, rest, wide))
-    elif plain:
-        frames.append(_hits(logs, plain, wide))
+            same.setdefault(tuple((r, q) for r, q, _ in ss), []).append(k)
+        groups += [(key.isin(ks), keyed[ks[0]]) for ks in same.values()]
+    if groups:
+        frames.append(_hits(logs, groups, wide))
     empty = logs.select(F.lit(0).alias("rule_idx"), F.lit(0).alias("query_idx"), "*").limit(0)
     matches = frames[0] if frames else empty
     for f in frames[1:]:

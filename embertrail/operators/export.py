@@ -93,6 +93,10 @@ def export(d: Detections, kind: str, path: str) -> None:
 
 
 def save(logs: DataFrame, path: str) -> None:
-    """The log table as Parquet, ordered by log source for pruning; refuses to overwrite."""
+    """The log table as Parquet, ordered by log source for pruning; refuses to overwrite.
+
+    A salt from the whole row is the last key of the ranges, so that one frequent log source fills several files.
+    """
     keys = [c for c in ("Channel", "EventID") if c in logs.columns]
-    (logs.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else logs).write.mode("errorifexists").parquet(path)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in logs.columns]), F.lit(1024))
+    (logs.repartitionByRange(*keys, salt).sortWithinPartitions(*keys) if keys else logs).write.mode("errorifexists").parquet(path)

@@ -38,9 +38,8 @@ def severity_totals(counts: DataFrame) -> DataFrame:
 def attack_tactics(counts: DataFrame) -> DataFrame:
     """tactic, techniques, hits, rules: hits are summed before techniques are counted."""
     rows = counts.select("rule_idx", "count", F.explode(tactics(F.col("tags"))).alias("tactic"), techniques(F.col("tags")).alias("_t"))
-    hits = rows.groupBy("tactic").agg(F.sum("count").alias("hits"), F.count_distinct("rule_idx").alias("rules"))
-    kinds = rows.select("tactic", F.explode_outer("_t").alias("_t")).groupBy("tactic").agg(F.count_distinct("_t").alias("techniques"))
-    return hits.join(kinds, "tactic").select("tactic", "techniques", "hits", "rules")
+    per = rows.groupBy("tactic").agg(F.sum("count").alias("hits"), F.count_distinct("rule_idx").alias("rules"), F.array_distinct(F.flatten(F.collect_set("_t"))).alias("_t"))
+    return per.select("tactic", F.size("_t").cast("long").alias("techniques"), "hits", "rules").orderBy(F.desc("hits"), "tactic")
 
 
 def navigator(counts: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ backslash escapes. A pipeline rewrites fields and adds conditions by log source;
 from __future__ import annotations
 
 import ipaddress
+import base64
 import re
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -98,7 +99,9 @@ def _one(name: Name, value: object, mods: list[str]) -> object:
     around = {"contains", "startswith", "endswith"} & set(mods)
     if isinstance(value, (int, float)) and not around:
         return Compare("=", name, Lit(value))
-    texts = [str(value)]
+    texts = _encoded(str(value), mods)
+    if "cased" in mods:
+        return _any([Regexp(name, _as_regexp(_wild(t)[0], around)) for t in texts])
     if "windash" in mods:
         texts += [re.sub(r"(^|(?<=\s))[-/]", lambda m: m[1] + d, texts[0]) for d in "-/–—―"]
     out = []
@@ -107,10 +110,45 @@ def _one(name: Name, value: object, mods: list[str]) -> object:
         if around:
             pattern, wild = ("%" if {"contains", "endswith"} & around else "") + pattern + ("%" if {"contains", "startswith"} & around else ""), True
         out.append(Like(name, pattern, "\\") if wild else Compare("=", name, Lit(_plain(pattern))))
-    return out[0] if len(out) == 1 else Or(tuple(out))
+    return _any(out)
 
 
-_KNOWN = {"contains", "startswith", "endswith", "all", "re", "i", "m", "s", "cidr", "exists", "gt", "gte", "lt", "lte", "windash", "fieldref"}
+def _any(nodes: list) -> object:
+    return nodes[0] if len(nodes) == 1 else Or(tuple(nodes))
+
+
+def _encoded(text: str, mods: list[str]) -> list[str]:
+    """The texts to look for: the text itself, or its base64 form, for base64offset the three that it has inside a longer one."""
+    if not {"base64", "base64offset"} & set(mods):
+        return [text]
+    charset = next((c for m, c in (("wide", "utf-16-le"), ("utf16le", "utf-16-le"), ("utf16be", "utf-16-be"), ("utf16", "utf-16")) if m in mods), "utf-8")
+    data = text.encode(charset)
+    if "base64" in mods:
+        return [base64.b64encode(data).decode()]
+    out = []
+    for shift in range(3):
+        # Characters that depend on the unknown bytes before and after are left out.
+        coded = base64.b64encode(b"\0" * shift + data).decode().rstrip("=")
+        first, whole = -(-shift * 8 // 6), (shift + len(data)) * 8 // 6
+        out.append(coded[first:whole])
+    return out
+
+
+def _as_regexp(like: str, around: set[str]) -> str:
+    """A LIKE pattern with its escapes as a regular expression, which minds the case."""
+    body, at = "", 0
+    while at < len(like):
+        c = like[at]
+        if c == "\\" and at + 1 < len(like):
+            at += 1
+            body += re.escape(like[at])
+        else:
+            body += ".*" if c == "%" else "." if c == "_" else re.escape(c)
+        at += 1
+    return "(?s)" + ("" if {"contains", "endswith"} & around else "^") + body + ("" if {"contains", "startswith"} & around else "$")
+
+
+_KNOWN = {"base64", "base64offset", "wide", "utf16le", "utf16be", "utf16", "cased", "contains", "startswith", "endswith", "all", "re", "i", "m", "s", "cidr", "exists", "gt", "gte", "lt", "lte", "windash", "fieldref"}
 
 
 def _field(key: str, value: object, rename: dict[str, str]) -> object:

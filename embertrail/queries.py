@@ -52,6 +52,16 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("event_id"), F.col("event_type").alias("Channel"), F.col("user_id").alias("EventID"), F.col("value"), F.col("props"), time.alias("SystemTime"))
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, or, in a local session without it, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="embertrail-")
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 # --- predicates --------------------------------------------------------------------------------------------------
 
 
@@ -425,8 +435,9 @@ def line_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, event_type AS Channel FROM events WHERE event_type = 'error'")
 def saved_table(spark: SparkSession, sf: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="embertrail-")
-    path = f"{base.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    path = shared_path(spark, "saved")
     export.save(logs(spark, sf), path)
     return P.run_select(readers.saved(spark, path), "SELECT event_id, Channel FROM logs WHERE Channel = 'ERROR'")
 
+
+from . import queries_more  # noqa: E402, F401 (registers its queries)

@@ -7,6 +7,7 @@ text reader, so one large file is many tasks. Lines that are no event are droppe
 from __future__ import annotations
 
 import bz2
+import csv as csv_rows
 import gzip
 import io
 import json
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import evtx as binary_log
+
 RAW = "source_file string, raw string"
 
 
@@ -27,7 +30,44 @@ def _file() -> Column:
     return F.col("_metadata.file_path").alias("source_file")
 
 
-def _text(spark: SparkSession, path: str | list[str], line_sep: str | None = None, encoding: str = "UTF-8", glob: str | None = None) -> DataFrame:
+def _paths(path: str | list[str]) -> list[str]:
+    return [path] if isinstance(path, str) else list(path)
+
+
+def is_archive(path: str | list[str]) -> bool:
+    """Whether the files are archives, which Spark's own readers do not open (.gz and .bz2 they do)."""
+    return all(p.lower().endswith((".zip", ".7z")) for p in _paths(path))
+
+
+def _files(spark: SparkSession, path: str | list[str], glob: str | None = None, password: str | None = None) -> DataFrame:
+    """path, content of whole files; what is packed is unpacked."""
+    key = password.encode() if password else None
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["path"], b["content"]):
+                yield pd.DataFrame({"path": [name], "content": [unpacked(name, bytes(content), key)]})
+
+    return r.load(_paths(path)).select("path", "content").mapInPandas(run, "path string, content binary")
+
+
+def _text(spark: SparkSession, path: str | list[str], line_sep: str | None = None, encoding: str = "UTF-8", glob: str | None = None, password: str | None = None) -> DataFrame:
+    """source_file, value: the lines of text files, or of the one file in each archive."""
+    if is_archive(path):
+        sep = line_sep or "\n"
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for name, content in zip(b["path"], b["content"]):
+                    lines = bytes(content).decode(encoding, "replace").split(sep)
+                    for i in range(0, len(lines), 10_000):
+                        some = [x.rstrip("\r") if sep == "\n" else x for x in lines[i : i + 10_000]]
+                        yield pd.DataFrame({"source_file": [name] * len(some), "value": some})
+
+        return _files(spark, path, glob, password).mapInPandas(run, "source_file string, value string")
     r = spark.read.option("recursiveFileLookup", "true").option("encoding", encoding)
     if line_sep:
         r = r.option("lineSep", line_sep)
@@ -48,23 +88,40 @@ def _python(df: DataFrame, fn: Callable[[str], dict | None]) -> DataFrame:
     return df.mapInPandas(run, RAW)
 
 
-def jsonl(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", **_: object) -> DataFrame:
+def jsonl(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", glob: str | None = None, password: str | None = None, **_: object) -> DataFrame:
     """One object a line; blank and malformed lines are skipped."""
-    df = _text(spark, path, encoding=encoding)
+    df = _text(spark, path, encoding=encoding, glob=glob, password=password)
     return df.where(F.trim("value") != "").where(F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")).select("source_file", F.col("value").alias("raw"))
 
 
-def json_array(spark: SparkSession, path: str | list[str], **_: object) -> DataFrame:
+def json_array(spark: SparkSession, path: str | list[str], glob: str | None = None, password: str | None = None, **_: object) -> DataFrame:
     """Arrays of objects; members that are no object are skipped."""
-    df = spark.read.option("recursiveFileLookup", "true").option("multiLine", "true").option("singleVariantColumn", "v").json(path)
+    if is_archive(path):
+        df = _files(spark, path, glob, password).select(F.col("path").alias("source_file"), F.try_parse_json(F.decode("content", "UTF-8")).alias("v"))
+    else:
+        r = spark.read.option("recursiveFileLookup", "true").option("multiLine", "true").option("singleVariantColumn", "v")
+        if glob:
+            r = r.option("pathGlobFilter", glob)
+        df = r.json(path).select(_file(), "v")
     members = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
-    rows = df.select(_file(), F.explode(members).alias("m")).select("source_file", F.to_json("m").alias("raw"))
+    rows = df.select("source_file", F.explode(members).alias("m")).select("source_file", F.to_json("m").alias("raw"))
     return rows.where(F.col("raw").startswith("{"))
 
 
-def csv(spark: SparkSession, path: str | list[str], **_: object) -> DataFrame:
+def csv(spark: SparkSession, path: str | list[str], glob: str | None = None, password: str | None = None, encoding: str = "UTF-8", **_: object) -> DataFrame:
     """A header line and commas; all values are text."""
-    r = spark.read.option("recursiveFileLookup", "true").option("header", "true").option("multiLine", "true").option("escape", '"').option("inferSchema", "false")
+    if is_archive(path):
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for name, content in zip(b["path"], b["content"]):
+                    rows = [json.dumps({k: v for k, v in r.items() if k is not None and v}, ensure_ascii=False) for r in csv_rows.DictReader(io.StringIO(bytes(content).decode(encoding, "replace"), newline=""))]
+                    yield pd.DataFrame({"source_file": [name] * len(rows), "raw": rows}, dtype=object)
+
+        return _files(spark, path, glob, password).mapInPandas(run, RAW)
+    r = spark.read.option("recursiveFileLookup", "true").option("header", "true").option("multiLine", "true").option("escape", '"').option("inferSchema", "false").option("encoding", encoding)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
     df = r.csv(path)
     return df.select(_file(), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("raw"))
 
@@ -74,53 +131,58 @@ def _tag(e: ElementTree.Element) -> str:
 
 
 def _value(text: str | None) -> object:
-    return int(text) if text is not None and re.fullmatch(r"-?\d+", text.strip()) else text
+    return "" if not text else int(text) if re.fullmatch(r"\s*[+-]?\d+\s*", text) else text
 
 
 def event_dict(e: ElementTree.Element) -> dict:
-    """An Event element as the dictionary of the event: section, then child; Data elements by their Name."""
-    out: dict = {}
+    """An Event element as the dictionary of the event: section, then child.
+
+    Data elements go by their Name (None without one), Qualifiers keep their text, and the attributes of any other
+    element take the place of its text.
+    """
+    out: dict = {"#attributes": {"xmlns": e.tag[1:].rsplit("}", 1)[0] if e.tag.startswith("{") else ""}}
     for section in e:
-        own: dict = out.setdefault(_tag(section), {})
+        own: dict = {}
         for child in section:
-            name, attrs = _tag(child), dict(child.attrib)
+            name = _tag(child)
             if name == "Data":
-                own[attrs.get("Name", "Data")] = _value(child.text)
-            elif "Qualifiers" in attrs:
-                own[name] = _value(child.text)
-            elif attrs:
-                own[name] = {"#attributes": attrs}
+                own[str(child.get("Name"))] = _value(child.text)
+            elif name == "Qualifiers":
+                own[name] = child.text
             else:
-                own[name] = _value(child.text)
+                own[name] = {"#attributes": dict(child.attrib)} if child.attrib else _value(child.text)
+        out[_tag(section)] = own
     return {"Event": out}
 
 
 def xml_event(text: str | None) -> dict | None:
-    """The dictionary of a text that holds <Event ...> up to, but for, its closing tag; None if it is no event."""
-    at = re.search(r"<Event[\s>]", text or "")
-    if not at:
-        return None
-    body = re.sub(r"[^\t\n\r\x20-퟿-�\U00010000-\U0010FFFF]", "", str(text)[at.start() :])
+    """The dictionary of a text that holds <Event ...> up to, but for, its closing tag; None if it is no event.
+
+    Damaged events before a whole one are passed over.
+    """
+    body = re.sub(r"[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010FFFF]", "", text or "")
     end = body.rfind("</Event>")
     body = body[: end + 8] if end >= 0 else body + "</Event>"
-    try:
-        return event_dict(ElementTree.fromstring(body))
-    except ElementTree.ParseError:
-        return None
+    for at in re.finditer(r"<Event[\s>]", body):
+        try:
+            return event_dict(ElementTree.fromstring(body[at.start() :]))
+        except ElementTree.ParseError:
+            continue
+    return None
 
 
-def xml(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", **_: object) -> DataFrame:
-    return _python(_text(spark, path, "</Event>", encoding), xml_event)
+def xml(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", glob: str | None = None, password: str | None = None, **_: object) -> DataFrame:
+    return _python(_text(spark, path, "</Event>", encoding, glob, password), xml_event)
 
 
-def evtxtract(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", **_: object) -> DataFrame:
+def evtxtract(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", glob: str | None = None, password: str | None = None, **_: object) -> DataFrame:
     """XML recovered from raw bytes: NUL and vertical tabs are dropped, blocks that do not parse are skipped."""
-    df = _text(spark, path, "</Event>", encoding)
+    df = _text(spark, path, "</Event>", encoding, glob, password)
     return _python(df.withColumn("value", F.translate("value", "\x00\x0b", "")), xml_event)
 
 
-def sysmon_linux(spark: SparkSession, path: str | list[str], encoding: str = "ISO-8859-1", **_: object) -> DataFrame:
-    df = _text(spark, path, encoding=encoding)
+def sysmon_linux(spark: SparkSession, path: str | list[str], encoding: str = "ISO-8859-1", glob: str | None = None, password: str | None = None, **_: object) -> DataFrame:
+    df = _text(spark, path, encoding=encoding, glob=glob, password=password)
     return _python(df.where(F.col("value").contains("<Event>")), xml_event)
 
 
@@ -142,9 +204,10 @@ def auditd_fields(line: Column) -> Column:
     return F.map_from_entries(kept)
 
 
-def auditd(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", **_: object) -> DataFrame:
-    df = _text(spark, path, encoding=encoding)
-    return df.where(F.col("value").contains("type=") & F.col("value").contains("msg=audit")).select("source_file", F.to_json(auditd_fields(F.col("value"))).alias("raw"))
+def auditd(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", glob: str | None = None, password: str | None = None, **_: object) -> DataFrame:
+    """Every line that is not blank is an event, with whatever pairs it holds."""
+    df = _text(spark, path, encoding=encoding, glob=glob, password=password)
+    return df.where(F.trim("value") != "").select("source_file", F.to_json(auditd_fields(F.col("value"))).alias("raw"))
 
 
 def saved(spark: SparkSession, path: str | list[str], **_: object) -> DataFrame:
@@ -152,7 +215,7 @@ def saved(spark: SparkSession, path: str | list[str], **_: object) -> DataFrame:
     return spark.read.parquet(*([path] if isinstance(path, str) else path))
 
 
-def sqlite(spark: SparkSession, path: str | list[str], **_: object) -> DataFrame:
+def sqlite(spark: SparkSession, path: str | list[str], glob: str | None = None, password: str | None = None, **_: object) -> DataFrame:
     """The rows of the table logs of SQLite files; a file without that table is skipped."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +231,7 @@ def sqlite(spark: SparkSession, path: str | list[str], **_: object) -> DataFrame
                 while some := rows.fetchmany(5000):
                     yield pd.DataFrame({"source_file": [name] * len(some), "raw": [json.dumps({k: r[k] for k in r.keys() if r[k] is not None}) for r in some]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RAW)
+    return _files(spark, path, glob, password).mapInPandas(run, RAW)
 
 
 class UnsupportedFormat(ValueError):
@@ -196,27 +259,15 @@ def unpacked(name: str, content: bytes, password: bytes | None = None) -> bytes:
             raise ValueError(f"{name}: wrong or missing password") from e
 
 
-def zipped_jsonl(spark: SparkSession, path: str | list[str], password: str | None = None, **_: object) -> DataFrame:
-    """JSON lines in zip archives of one file each; .gz and .bz2 need no reader of their own, Spark decodes them."""
-    key = password.encode() if password else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, content in zip(b["path"], b["content"]):
-                lines = unpacked(name, bytes(content), key).decode("utf-8", "replace").split("\n")
-                yield pd.DataFrame({"source_file": [name] * len(lines), "value": lines})
-
-    df = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "source_file string, value string")
-    return df.where(F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")).select("source_file", F.col("value").alias("raw"))
-
-
-def evtx(spark: SparkSession, path: str | list[str], **_: object) -> DataFrame:
-    raise UnsupportedFormat("binary EVTX is not read; export it to XML or JSON lines")
+def evtx(spark: SparkSession, path: str | list[str], glob: str | None = None, password: str | None = None, **_: object) -> DataFrame:
+    """Binary event logs; damaged records and chunks are skipped."""
+    return binary_log.scan(_files(spark, path, glob, password))
 
 
+#: Archives (.zip) are read by every reader; "zip" is JSON lines in them.
 READERS: dict[str, Callable[..., DataFrame]] = {
-    "json": jsonl, "json_array": json_array, "csv": csv, "xml": xml, "evtxtract": evtxtract, "sysmon_linux": sysmon_linux,
-    "auditd": auditd, "saved": saved, "db": sqlite, "zip": zipped_jsonl, "evtx": evtx,
+    "evtx": evtx, "json": jsonl, "json_array": json_array, "csv": csv, "xml": xml, "evtxtract": evtxtract, "sysmon_linux": sysmon_linux,
+    "auditd": auditd, "saved": saved, "db": sqlite, "zip": jsonl,
 }
 
 

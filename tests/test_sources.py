@@ -31,8 +31,55 @@ def test_json_lines_array_and_packed(spark, tmp_path):
     assert raw(readers.read(spark, str(tmp_path / "d.zip"), "zip")) == [EVENT, {"a": 1}]
     (tmp_path / "e.json").write_text(json.dumps([{"a": 1}, 5, {"b": 2}]))
     assert raw(readers.read(spark, str(tmp_path / "e.json"), "json_array")) == [{"a": 1}, {"b": 2}]
-    with pytest.raises(readers.UnsupportedFormat):
-        readers.read(spark, "x.evtx", "evtx")
+    (tmp_path / "f.7z").write_bytes(b"7z")
+    with pytest.raises(Exception, match="7z"):
+        readers.read(spark, str(tmp_path / "f.7z"), "json").collect()
+
+
+def test_zip_of_every_format(spark, tmp_path):
+    plain = {
+        "json": json.dumps(EVENT) + "\n{bad\n", "json_array": json.dumps([EVENT, 3]), "csv": 'EventID,User\n1,"a,""b"\n', "xml": f"<Events>{XML}\n{XML}</Events>", "evtxtract": "Found at offset " + XML + "\x00",
+        "sysmon_linux": "Jan  1 00:00:00 h sysmon: " + XML.replace(' xmlns="u"', "") + "\nnoise\n", "auditd": 'type=A msg=audit(1700000000.1:7): a="x"\n',
+    }
+    for fmt, text in plain.items():
+        (tmp_path / f"p.{fmt}").write_text(text)
+        with zipfile.ZipFile(tmp_path / f"z.{fmt}.zip", "w") as z:
+            z.writestr(f"p.{fmt}", text)
+        want = raw(readers.read(spark, str(tmp_path / f"p.{fmt}"), fmt))
+        assert want and raw(readers.read(spark, str(tmp_path / f"z.{fmt}.zip"), fmt)) == want, fmt
+    with zipfile.ZipFile(tmp_path / "a.json.zip", "w") as z:
+        z.writestr("a.json", json.dumps(EVENT))
+    assert Engine(spark).load(str(tmp_path / "a.json.zip")).logs.count() == 1
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:
+        z.writestr("a", "1"), z.writestr("b", "2")
+    with pytest.raises(Exception, match="exactly one"):
+        readers.read(spark, str(tmp_path / "two.zip"), "json").collect()
+
+
+def test_glob_reaches_the_readers(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1}')
+    (tmp_path / "b.txt").write_text('{"b": 1}')
+    assert raw(readers.read(spark, str(tmp_path), "json", glob="*.json")) == [{"a": 1}]
+
+
+def test_raw_times_and_keys(spark):
+    texts = ["x 2024-06-15T10:30:00.123Z y", "2024-06-15 10:30:00", "06/15/2024 10:30:00", "Jun 15 10:30:00 host", "133627842000000000", "1718442600", "1718442600000", "none 123", "1718442600 but 2024-06-15 10:30:00"]
+    want = ["ISO 8601", "ISO 8601 (space)", "US date-time", "Syslog", "Windows FileTime", "Epoch seconds", "Epoch milliseconds", None, "ISO 8601 (space)"]
+    assert [(formats.raw_time(t) or [None])[0] for t in texts] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["x"] for r in df.select("i", formats.raw_time_column(df.t).alias("x")).collect()}
+    assert all((got[i] and tuple(got[i])) == formats.raw_time(t) for i, t in enumerate(texts))
+    found = formats.detect_bytes("a.json", json.dumps({"when it was": "at 06/15/2024 10:30:00", "n": 1}).encode())
+    assert (found.time_field, found.time_format) == ("when it was", "US date-time")
+    assert formats.detect_bytes("a.log", b"<x>Found at offset 1 Valid header</x>").format == "evtxtract"
+    assert formats.detect_bytes("a.json", b'{"type": "AVC", "a": 1}').details.startswith("audit")
+
+
+def test_elastic_names_become_the_columns_that_rules_use(spark):
+    event = {"@timestamp": "2024-01-01T00:00:00Z", "process": {"executable": "C:\\a.exe", "command_line": "a b", "parent": {"executable": "C:\\p.exe"}}, "dns": {"question": {"name": "x.com"}}, "event": {"code": "1"}, "winlog": {"channel": "S"}}
+    df = spark.createDataFrame([("f", json.dumps(event))], "source_file string, raw string")
+    row = flatten.flatten(df, Mapping(transforms=[])).first().asDict()
+    assert {k: row[k] for k in ("timestamp", "Image", "CommandLine", "ParentImage", "QueryName", "EventID", "Channel")} == {"timestamp": "2024-01-01T00:00:00Z", "Image": "C:\\a.exe", "CommandLine": "a b", "ParentImage": "C:\\p.exe", "QueryName": "x.com", "EventID": "1", "Channel": "S"}
 
 
 def test_xml_and_relatives(spark, tmp_path):
@@ -48,7 +95,7 @@ def test_xml_and_relatives(spark, tmp_path):
 
 def test_auditd_csv_sqlite(spark, tmp_path):
     (tmp_path / "a.log").write_text('type=SYSCALL msg=audit(1700000000.1:7): a="x" exe="/bin/sh" a=2\x1dUID="root"\nnoise\n')
-    assert raw(readers.read(spark, str(tmp_path / "a.log"), "auditd")) == [{"host": "offline", "type": "SYSCALL", "timestamp": "2023-11-14 22:13:20", "exe": "/bin/sh", "a": "2", "UID": "root"}]
+    assert raw(readers.read(spark, str(tmp_path / "a.log"), "auditd")) == [{"host": "offline", "type": "SYSCALL", "timestamp": "2023-11-14 22:13:20", "exe": "/bin/sh", "a": "2", "UID": "root"}, {"host": "offline"}]
     (tmp_path / "a.csv").write_text('EventID,Channel,User\n1,S,"a,""b"\n2,,c\n')
     assert raw(readers.read(spark, str(tmp_path / "a.csv"), "csv")) == [{"EventID": "1", "Channel": "S", "User": 'a,"b'}, {"EventID": "2", "User": "c"}]
     con = sqlite3.connect(tmp_path / "x.db")
@@ -95,7 +142,7 @@ def test_formats(tmp_path):
     assert look("a", json.dumps([EVENT])) == ("json_array", "high")
     assert look("a", "[" + json.dumps(EVENT) + ", {\"cut") == ("json_array", "high")
     assert look("a", XML) == ("xml", "high")
-    assert look("a", "type=SYSCALL msg=audit(1:2): a=b\n" * 2) == ("auditd", "high")
+    assert look("a", "type=SYSCALL msg=audit(1.5:2): a=b\n" * 2) == ("auditd", "high")
     assert look("a", "EventID,Channel\n1,S\n") == ("csv", "high")
     assert look("a.log", "hello") == ("auditd", "low")
     assert formats.detect_bytes("a", b"ElfFile\0").format == "evtx"
