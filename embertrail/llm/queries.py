@@ -55,6 +55,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+# What of the operators' results SQL can express, each from the operator itself.
+
+
+def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mix_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_mixing(spark, sf_dir).select("doc_id", "size", "source_size")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_line_dedup(spark, sf_dir).select("doc_id", "n_lines")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
@@ -67,6 +90,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_line_dedup": op9_line_dedup,
         "op10_packing": op10_packing,
+        "base_counts": base_counts,
+        "secret_counts": secret_counts,
+        "mix_sizes": mix_sizes,
+        "edited_texts": edited_texts,
+        "line_counts": line_counts,
     }
 
 
@@ -86,5 +114,36 @@ roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.root AS component_id, r.root = d.doc_id AS kept FROM documents d JOIN roots r ON r.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LINES = rf"list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))"
+
+BASE_COUNTS_SQL = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws, {_LINES} AS ls FROM documents),
+runs AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] || ' ' || ws[i + 4] AS five FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS c FROM runs),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) WHERE c > 1 GROUP BY doc_id),
+counts AS (SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM d LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts"""
+
+SECRET_COUNTS_SQL = r"""SELECT doc_id,
+len(list_filter(regexp_extract_all(coalesce(text, ''), '((?i)password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_=.-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,
+len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM documents"""
+
+MIX_SIZES_SQL = rf"SELECT doc_id, len({_WORDS}) AS size, CAST(sum(len({_WORDS})) OVER (PARTITION BY source) AS BIGINT) AS source_size FROM documents"
+
+EDITED_TEXTS_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (ORDER BY doc_id) AS n, first_value(coalesce(text, '')) OVER (ORDER BY doc_id) AS f FROM documents)
+SELECT doc_id, length(t) AS n_chars, sha256(substring(t, 1, length(t) - length(t) // 2) || substring(coalesce(n, f), 1, length(t) // 2)) AS edited_sha256 FROM d"""
+
+LINE_COUNTS_SQL = f"SELECT doc_id, len({_LINES}) AS n_lines FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dup": NEAR_DUP_SQL}
+    return {
+        "op5_near_dup": NEAR_DUP_SQL,
+        "base_counts": BASE_COUNTS_SQL,
+        "secret_counts": SECRET_COUNTS_SQL,
+        "mix_sizes": MIX_SIZES_SQL,
+        "edited_texts": EDITED_TEXTS_SQL,
+        "line_counts": LINE_COUNTS_SQL,
+    }
