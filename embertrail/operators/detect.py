@@ -73,8 +73,9 @@ def _hits(df: DataFrame, groups: list[tuple[Column | None, list[Statement]]], wi
         for i in range(0, len(statements), wide):
             mark = F.concat_ws(",", *[F.when(c.condition(t), F.lit(f"{r}:{q}")) for r, q, t in statements[i : i + wide]])
             marks.append(F.nullif(mark if source is None else F.when(source, mark), F.lit("")))
-    hit = low.select(*[F.col(f"`{x}`") for x in df.columns], F.concat_ws(",", *marks).alias("_hits")).where("_hits <> ''")
-    out = hit.select(F.explode(F.split("_hits", ",")).alias("_hit"), *[F.col(f"`{x}`") for x in df.columns])
+    hit = low.select(*[F.col(f"`{x}`") for x in df.columns], F.nullif(F.concat_ws(",", *marks), F.lit("")).alias("_hits"))
+    # The outer form, with the filter behind it: a filter before it would work all predicates out twice.
+    out = hit.select(F.explode_outer(F.split("_hits", ",")).alias("_hit"), *[F.col(f"`{x}`") for x in df.columns]).where("_hit is not null")
     return out.select(F.split_part("_hit", F.lit(":"), F.lit(1)).cast("int").alias("rule_idx"), F.split_part("_hit", F.lit(":"), F.lit(2)).cast("int").alias("query_idx"), *[F.col(f"`{x}`") for x in df.columns])
 
 
