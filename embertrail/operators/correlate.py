@@ -2,8 +2,9 @@
 
 event_count and value_count group the rows of the base rules; by default over the whole table (the time span is not
 enforced), or, windowed, over tumbling spans of time. temporal asks that so many different base rules match within a
-span: a range window over epoch seconds. Group keys compare without regard to ASCII case and the smallest spelling
-stands for the group. Nothing is collected beyond the rule names in a span, of which there are as many as rules.
+span after a row, temporal_ordered that all of them do in their order (at one time, in the order of their names). Group
+keys compare without regard to ASCII case and the smallest spelling stands for the group. No list is collected; a hot
+group, or the whole table where there is none, is split into cells of one span's length.
 """
 
 from __future__ import annotations
@@ -64,17 +65,25 @@ def correlate(logs: DataFrame, rule: Correlation, scope: list[str] | None = None
     t = _seconds(logs, names[(time_field or "SystemTime").lower()])
     tags = F.array_compact(F.array(*[F.when(_match(logs, ts), F.lit(n)) for n, ts in base.items()]))
     rows = logs.select(*[F.col(f"`{g}`") for g in groups], *keys, t.alias("_t"), F.explode(tags).alias("_rule")).where(F.col("_t").isNotNull())
-    marks = [f"_k{i}" for i in range(len(groups))] or [F.lit(1)]
-    span = Window.partitionBy(*marks).orderBy("_t").rangeBetween(0, rule.timespan)
-    if rule.kind == "temporal":
-        seen = rows.withColumn("rules", F.array_sort(F.collect_set("_rule").over(span)))
-        good = holds(F.size("rules"), rule.op, rule.number)
-    else:  # each next rule's first time after the one before it, within the span
-        seen, order = rows, list(base)
-        seen = seen.withColumn("rules", F.array_sort(F.collect_set("_rule").over(span)))
-        times = F.array_sort(F.collect_list(F.struct("_t", "_rule")).over(span))
-        step = lambda i, x: F.when((i < len(order)) & (x["_rule"] == F.get(F.array(*[F.lit(o) for o in order]), i)), i + 1).otherwise(i)
-        seen = seen.withColumn("_n", F.aggregate(times, F.lit(0), step))
-        good = F.col("_n") >= len(order)
+    marks = [f"_k{i}" for i in range(len(groups))]
+    # Cells of one span's length: what lies within a span of a row is in its cell or the next one, so every row is dealt to
+    # its own cell and, as a follower, to the one before. A hot group is many cells.
+    cell = F.floor(F.col("_t") / max(rule.timespan, 1))
+    dealt = rows.withColumn("_start", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_cell", F.when(F.col("_start"), cell).otherwise(cell - 1))
+    # From the end backwards with running minima, which cost one step a row however many rows a span holds.
+    back = Window.partitionBy(*marks, "_cell").orderBy(F.desc("_t"), F.desc("_rule")).rowsBetween(Window.unboundedPreceding, 0)
+    onward = Window.partitionBy(*marks, "_cell").orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, 0)
+    until = F.col("_t") + rule.timespan
+    order = list(base)
+    ends = F.when(F.col("_rule") == order[-1], F.col("_t"))
+    if rule.kind == "temporal_ordered":  # the earliest end of the rules from this row's on, in their order
+        for this, after in zip(reversed(order[:-1]), reversed(order[1:])):
+            dealt = dealt.withColumn("_end", ends)
+            ends = F.when(F.col("_rule") == this, F.min(F.when(F.col("_rule") == after, F.col("_end"))).over(back)).otherwise(F.when(F.col("_rule") == after, F.col("_end")))
+    dealt = dealt.withColumn("_end", ends)
+    follow = [(F.min(F.when(F.col("_rule") == n, F.col("_t"))).over(onward)).alias(f"_next{i}") for i, n in enumerate(order)]
+    seen = dealt.select("*", *follow, F.min(F.when(F.col("_rule") == order[0], F.col("_end"))).over(onward).alias("_done")).where("_start")
+    seen = seen.withColumn("_rules", reduce(lambda a, b: a + b, [F.when(F.col(f"_next{i}") <= until, 1).otherwise(0) for i in range(len(order))]))
+    good = holds(F.col("_rules"), rule.op, rule.number) if rule.kind == "temporal" else F.col("_done") <= until
     hit = seen.where(good)
-    return hit.groupBy(*marks).agg(*shown, F.count("*").alias("event_count"), F.min("_t").cast("long").alias("first_time"), F.max(F.size("rules")).alias("rule_count")).select(*[F.col(f"`{g}`") for g in groups], "event_count", "first_time", "rule_count")
+    return hit.withColumn("_all", F.lit(1)).groupBy(*(marks or ["_all"])).agg(*shown, F.count("*").alias("event_count"), F.min("_t").cast("long").alias("first_time"), F.max("_rules").alias("rule_count")).select(*[F.col(f"`{g}`") for g in groups], "event_count", "first_time", "rule_count")

@@ -131,3 +131,34 @@ def test_exports(tmp_path, logs):
     with pytest.raises(Exception, match="already exists"):
         export.export(d, "ndjson", str(tmp_path / "out"))
     assert {r["level"]: r["total"] for r in summarize.severity_totals(d.counts()).collect()} == {"high": 3, "critical": 1}
+
+
+def brute_temporal(rows, order, span, kind, least):
+    """Rows (group, seconds, rule): group to (events, first time, most rules)."""
+    out = {}
+    for g, t, _ in rows:
+        near = sorted((u, r) for h, u, r in rows if h == g and t <= u <= t + span)
+        have, n = len({r for _, r in near}), 0
+        for _, r in near:
+            n += n < len(order) and r == order[n]
+        if have >= least if kind == "temporal" else n == len(order):
+            k, first, most = out.get(g, (0, t, 0))
+            out[g] = (k + 1, min(first, t), max(most, have))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["temporal", "temporal_ordered"])
+@pytest.mark.parametrize("grouped", [True, False])
+@pytest.mark.parametrize("span", [1, 7, 40])
+def test_temporal_against_brute_force(spark, kind, grouped, span):
+    import random
+
+    rng = random.Random(span)
+    rows = [(rng.choice("xxxxy") if grouped else "", rng.randrange(-20, 300) if rng.random() < 0.9 else 100, rng.choice("bac")) for _ in range(150)]
+    df = spark.createDataFrame([(g, t, r) for g, t, r in rows] + [("x", None, "a")], "host string, at long, tag string")
+    docs = [{"title": n, "name": n, "logsource": {}, "detection": {"s": {"tag": n}, "condition": "s"}} for n in "bac"]
+    corr = {"type": kind, "rules": ["b", "a", "c"], "timespan": f"{span}s", "condition": {"gte": 2}} | ({"group-by": ["host"]} if grouped else {})
+    made, _ = rules.compile_docs([*docs, {"title": "T", "correlation": corr}])
+    found = correlate(df, next(r for r in made if r.correlation).correlation, time_field="at").collect()
+    got = {r["host"] if grouped else "": (r["event_count"], r["first_time"], r["rule_count"]) for r in found}
+    assert got == brute_temporal(rows, ["b", "a", "c"], span, kind, 2)
