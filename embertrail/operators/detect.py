@@ -46,12 +46,6 @@ class Detections:
     def sorted_counts(self) -> DataFrame:
         return self.counts().orderBy(rank_column(F.col("level")), F.desc("count"), "rule_idx")
 
-    def nested(self) -> DataFrame:
-        """One row a rule with its matches as JSON objects; matches grow with the data, so this is for small results."""
-        data = [c for c in self.matches.columns if c not in ("rule_idx", "query_idx")]
-        rows = self.kept().select("rule_idx", F.to_json(F.struct(*[F.col(f"`{c}`") for c in data])).alias("_row"))
-        return self.counts().join(rows.groupBy("rule_idx").agg(F.collect_list("_row").alias("matches")), "rule_idx")
-
 
 Statement = tuple[int, int, object]
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import groupby
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -73,9 +75,34 @@ def layer(d: Detections, name: str = "Detections") -> dict:
     return {"name": name, "versions": {"layer": "4.5"}, "domain": "enterprise-attack", "techniques": items, "gradient": {"colors": [COLOURS["low"], COLOURS["critical"]], "minValue": 0, "maxValue": top}}
 
 
+def _objects(d: Detections) -> Iterator[tuple[dict, Iterator[str]]]:
+    """The head of every rule that matched and its matches as JSON texts, to be taken in turn.
+
+    Matches come sorted by rule and text, and to the driver one partition at a time, so a rule of any number of matches
+    is no row, task or list of its own.
+    """
+    data = [c for c in d.matches.columns if c not in ("rule_idx", "query_idx")]
+    heads = {r["rule_idx"]: {"title": r["title"], "id": r["id"], "description": r["description"], "rule_level": r["level"], "tags": r["tags"], "count": r["count"]} for r in d.counts().collect()}
+    rows = d.kept().select("rule_idx", F.to_json(F.struct(*[F.col(f"`{c}`") for c in data])).alias("row")).orderBy("rule_idx", "row")
+    for rule, found in groupby(rows.toLocalIterator(), key=lambda r: r["rule_idx"]):
+        yield heads[rule], (r["row"] for r in found)
+
+
 def nested_json(d: Detections) -> list[dict]:
-    """The detections as objects with their matches; for small results."""
-    return [{"title": r["title"], "id": r["id"], "description": r["description"], "rule_level": r["level"], "tags": r["tags"], "count": r["count"], "matches": [json.loads(m) for m in r["matches"]]} for r in d.nested().collect()]
+    """The detections as objects with their matches, as a list; for small results."""
+    return [head | {"matches": [json.loads(m) for m in matches]} for head, matches in _objects(d)]
+
+
+def write_json(d: Detections, path: str) -> None:
+    """The same as a file, written match by match."""
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("[")
+        for i, (head, matches) in enumerate(_objects(d)):
+            out.write(("," if i else "") + "\n" + json.dumps(head, indent=4, ensure_ascii=False)[:-2] + ',\n    "matches": [')
+            for j, m in enumerate(matches):
+                out.write(("," if j else "") + "\n        " + m)
+            out.write("\n    ]\n}")
+        out.write("\n]\n")
 
 
 def export(d: Detections, kind: str, path: str) -> None:
@@ -85,8 +112,10 @@ def export(d: Detections, kind: str, path: str) -> None:
         lines[kind]().write.text(path)
     elif kind in ("csv", "summary_csv"):
         (csv(d) if kind == "csv" else summary_csv(d)).write.option("header", "true").option("sep", ";").csv(path)
-    elif kind in ("json", "sarif", "layer"):
-        made = {"json": nested_json, "sarif": sarif, "layer": layer}[kind](d)
+    elif kind == "json":
+        write_json(d, path)
+    elif kind in ("sarif", "layer"):
+        made = {"sarif": sarif, "layer": layer}[kind](d)
         Path(path).write_text(json.dumps(made, indent=4, ensure_ascii=False))
     else:
         raise ValueError(f"no export {kind}")

@@ -1,8 +1,8 @@
 """Nested events to one wide log table.
 
 Pass one flattens each event to keyed values (leaves of a level first, nested objects afterwards, the last one first;
-later leaves win), renaming, excluding, splitting and aliasing on the way, in Arrow batches. An aggregate finds the keys
-and whether every value of a key is an integer. Pass two projects one column a key: bigint if all are integers, text
+later leaves win), renaming, excluding, splitting and aliasing on the way, in Arrow batches, and hands back only the keys
+and whether every value of a key is an integer. Pass two does so again for the values and projects one column a key: bigint if all are integers, text
 otherwise; spellings that differ only in case share a column. Where the set of paths is known beforehand,
 flatten_known does it all with variant expressions.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,8 +50,28 @@ def split_column(c: Column, separator: str, equal: str) -> Column:
     return F.map_from_entries(F.transform(good, lambda p: F.struct(p[0].alias("key"), p[1].alias("value"))))
 
 
-def flatten_event(event: dict, m: Mapping) -> dict[str, object]:
+class Paths(dict):
+    """What becomes of a path, worked out once: None if excluded, else its name, split rule, aliases, and whether the value itself stays."""
+
+    def __init__(self, m: Mapping, most: int = 100_000) -> None:
+        super().__init__()
+        self.m, self.most = m, most
+
+    def __missing__(self, full: str) -> tuple | None:
+        m, raw = self.m, full.rsplit(".", 1)[-1]
+        name = m.fields.get(full) or sanitize(raw)
+        rule = m.split.get(name) or m.split.get(raw)
+        aliases = m.alias.get(name) or m.alias.get(raw) or []
+        out = None if any(x in full for x in m.exclusions) else (name, rule, aliases, not rule or bool(aliases) or name in m.keep_split)
+        if len(self) >= self.most:  # keys that are data
+            self.clear()
+        self[full] = out
+        return out
+
+
+def flatten_event(event: dict, m: Mapping, paths: Paths | None = None) -> dict[str, object]:
     """Column to value of one event."""
+    paths = Paths(m) if paths is None else paths
     out: dict[str, object] = {}
     stack: list[tuple[str, dict]] = [("", event)]
     while stack:
@@ -60,21 +81,19 @@ def flatten_event(event: dict, m: Mapping) -> dict[str, object]:
             if isinstance(value, dict):
                 stack.append((full, value))
                 continue
-            if any(x in full for x in m.exclusions):
+            plan = paths[full]
+            if plan is None:
                 continue
             if isinstance(value, list):
                 value = str(value)
             if any(value is u or (type(value) is type(u) and value == u) for u in m.useless):
                 continue
-            raw = full.rsplit(".", 1)[-1]
-            name = m.fields.get(full) or sanitize(raw)
+            name, rule, aliases, stays = plan
             if isinstance(value, int) and abs(value) > _MOST:
                 value = str(value)
-            rule = m.split.get(name) or m.split.get(raw)
             if rule and isinstance(value, str):
                 out.update({sanitize(k): v for k, v in split_pairs(value, *rule)})
-            aliases = m.alias.get(name) or m.alias.get(raw) or []
-            if not rule or aliases or name in m.keep_split:
+            if stays:
                 out[name] = value
             for a in aliases:
                 out[a] = value
@@ -103,20 +122,25 @@ def time_range(c: Column, after: str, before: str) -> Column:
     return F.coalesce(~known | ((t > F.lit(after[:19])) & (t < F.lit(before[:19]))), F.lit(True))
 
 
+def _flat(batch: pd.DataFrame, m: Mapping, paths: Paths) -> Iterator[tuple[str, str, dict[str, object]]]:
+    """File, raw text and columns of the events of a batch; what is no JSON object is left out."""
+    for file, raw in zip(batch["source_file"], batch["raw"]):
+        try:
+            event = json.loads(raw)
+        except ValueError:
+            continue
+        if isinstance(event, dict):
+            yield file, raw, {"OriginalLogfile": str(file).rsplit("/", 1)[-1], **flatten_event(event, m, paths)}
+
+
 def keyed(events: DataFrame, m: Mapping, hashes: bool = False) -> DataFrame:
     """source_file, row_hash, and entries: array of (key, value as text, whether it is an integer)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        paths = Paths(m)
         for b in batches:
             files, marks, entries = [], [], []
-            for file, raw in zip(b["source_file"], b["raw"]):
-                try:
-                    event = json.loads(raw)
-                except ValueError:
-                    continue
-                if not isinstance(event, dict):
-                    continue
-                flat = {"OriginalLogfile": str(file).rsplit("/", 1)[-1], **flatten_event(event, m)}
+            for file, raw, flat in _flat(b, m, paths):
                 files.append(file)
                 marks.append(xxhash.xxh64(raw.encode()).hexdigest() if hashes else None)
                 entries.append([{"key": k, "value": str(int(v)) if isinstance(v, bool) else str(v), "whole": isinstance(v, int)} for k, v in flat.items() if v is not None])
@@ -125,11 +149,28 @@ def keyed(events: DataFrame, m: Mapping, hashes: bool = False) -> DataFrame:
     return events.mapInPandas(run, "source_file string, row_hash string, entries array<struct<key:string,value:string,whole:boolean>>")
 
 
-def discover(rows: DataFrame) -> list[tuple[str, list[str], bool]]:
-    """Columns of keyed rows: the spelling shown, all spellings, and whether all values are integers. One row a key is collected."""
-    keys = rows.select(F.explode("entries").alias("e")).groupBy("e.key").agg(F.bool_and("e.whole").alias("whole"), F.count("*").alias("n")).collect()
+def keys(events: DataFrame, m: Mapping) -> DataFrame:
+    """key, whole (all its values are integers), n (rows that have it): one row a key and batch, so values stay in the worker."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        paths = Paths(m)
+        for b in batches:
+            n: Counter[str] = Counter()
+            text: set[str] = set()
+            for _, _, flat in _flat(b, m, paths):
+                have = [k for k, v in flat.items() if v is not None]
+                n.update(have)
+                text.update(k for k in have if not isinstance(flat[k], int))
+            yield pd.DataFrame({"key": list(n), "whole": [k not in text for k in n], "n": list(n.values())}).astype({"key": object, "whole": bool, "n": "int64"})
+
+    return events.mapInPandas(run, "key string, whole boolean, n long")
+
+
+def discover(found: DataFrame) -> list[tuple[str, list[str], bool]]:
+    """Columns of keys: the spelling shown, all spellings, and whether all values are integers. One row a key is collected."""
+    rows = found.groupBy("key").agg(F.bool_and("whole").alias("whole"), F.sum("n").alias("n")).collect()
     by: dict[str, list] = {}
-    for r in sorted(keys, key=lambda r: (-r["n"], r["key"])):
+    for r in sorted(rows, key=lambda r: (-r["n"], r["key"])):
         by.setdefault(r["key"].lower(), []).append(r)
     return [(rs[0]["key"], [r["key"] for r in rs], all(r["whole"] for r in rs)) for _, rs in sorted(by.items())]
 
@@ -151,8 +192,8 @@ def widen(rows: DataFrame, columns: list[tuple[str, list[str], bool]], only: lis
 def flatten(events: DataFrame, m: Mapping | None = None, hashes: bool = False, only: list[str] | None = None, event_filter: EventFilter | None = None, after: str | None = None, before: str | None = None) -> DataFrame:
     """The log table of events (source_file, raw): filters first, then flattening, transforms and the time range."""
     m = m or Mapping()
-    rows = keyed(early_filter(events, event_filter, m) if event_filter else events, m, hashes)
-    logs = widen(rows, discover(rows), only)
+    kept = early_filter(events, event_filter, m) if event_filter else events
+    logs = widen(keyed(kept, m, hashes), discover(keys(kept, m)), only)
     if not hashes and "OriginalLogLinexxHash" in logs.columns:
         logs = logs.drop("OriginalLogLinexxHash")
     if after or before:

@@ -127,6 +127,10 @@ def test_exports(tmp_path, logs):
     assert [r["ruleId"] for r in export.sarif(d)["runs"][0]["results"]] == ["b", "1"]
     assert {(t["techniqueID"], t["score"], t.get("tactic")) for t in export.layer(d)["techniques"]} == {("T1110.001", 3, "credential-access"), ("T1059", 1, None)}
     assert [x["count"] for x in sorted(export.nested_json(d), key=lambda x: x["title"])] == [3, 1]
+    export.export(d, "json", str(tmp_path / "all.json"))
+    assert json.loads((tmp_path / "all.json").read_text()) == export.nested_json(d)
+    export.export(detect(logs, [rule("none", "EventID = 77")]), "json", str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == []
     export.export(d, "ndjson", str(tmp_path / "out"))
     with pytest.raises(Exception, match="already exists"):
         export.export(d, "ndjson", str(tmp_path / "out"))
