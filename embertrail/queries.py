@@ -85,7 +85,7 @@ predicate("pred_ne", "events", _EV, "event_type != 'View'", "lower(event_type) <
 predicate("pred_compare", "events", _EV, "user_id >= 100 AND user_id < 120", "user_id >= 100 AND user_id < 120", "event_id")
 predicate("pred_like_contains", "part", {"p_name": "p_name"}, "p_name LIKE '%RE%'", "lower(p_name) LIKE '%re%'", "p_partkey")
 predicate("pred_like_prefix", "part", {"p_type": "p_type"}, "p_type LIKE 'STANDARD%'", "lower(p_type) LIKE 'standard%'", "p_partkey")
-predicate("pred_like_suffix", "part", {"p_type": "p_type"}, "p_type LIKE '%steel'", "lower(p_type) LIKE '%steel'", "p_partkey")
+predicate("pred_like_suffix", "part", {"p_type": "p_type"}, "p_type LIKE '%um'", "lower(p_type) LIKE '%um'", "p_partkey")
 predicate("pred_like_single", "part", {"p_brand": "p_brand"}, "p_brand LIKE 'brand#_2'", "lower(p_brand) LIKE 'brand#_2'", "p_partkey")
 predicate("pred_like_escape", "documents", {"text": "text"}, r"text LIKE '%\%\%\%%' ESCAPE '\'", "contains(text, '%%%')", "doc_id")
 predicate("pred_not_like_null", "events", {"t": "nullif(event_type, 'view')"}, "NOT t LIKE '%e%'", "NOT lower(nullif(event_type, 'view')) LIKE '%e%'", "event_id")
