@@ -37,3 +37,16 @@ def test_query_equals_sql(spark, con, name):
 def test_entry_and_registration(spark):
     assert entry.entry(spark).columns == ["rule_idx", "query_idx", "event_id"]
     assert set(detection.oracle_sql()) <= set(detection.queries()) <= set(entry.queries())
+
+
+def test_nested_json_leaves_out_rules_beyond_its_limit(spark, tmp_path):
+    """One rule with a match more than the SQL lets through, one with exactly as many."""
+    c = duckdb.connect()
+    n = 100_000
+    c.execute(
+        f"""COPY (SELECT range AS event_id, TIMESTAMP '2024-01-01' AS ts, CASE WHEN range <= {n} THEN 3 ELSE 19 END AS user_id,
+        CASE WHEN range <= {n} THEN 'view' ELSE 'error' END AS event_type, 1.0::DOUBLE AS value, '{{"k": 55}}' AS props FROM range({2 * n + 1})) TO '{tmp_path}/events.parquet'"""
+    )
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = [tuple(r) for r in entry.queries()["export_nested_json"](spark, str(tmp_path)).collect()]
+    assert got == c.execute(entry.oracle_sql()["export_nested_json"]).fetchall() == [("Error by low id", n, n)]
