@@ -173,21 +173,20 @@ def with_edits(docs: DataFrame, k: int = K, bins: int = BINS, rows: int = ROWS,
     if known.groupBy("doc_id").count().where("count > 1").take(1):
         # Ids repeat: their succession goes by one text an id, and is then joined to every row.
         after = _with_next(known.groupBy("doc_id").agg(F.min("text").alias("text")), rows, of)
-        after = cut(after.select(F.col("doc_id").alias("_id"), "_text", "_next"), "next")
-        both = known.join(after.hint("merge"), F.col("doc_id") == F.col("_id")).withColumn("_own", of(F.col("text")))
+        after = cut(after.select(F.col("doc_id").alias("_id"), "_text"), "next")
+        both = known.join(after.hint("merge"), F.col("doc_id") == F.col("_id")).withColumns({"_own": of(F.col("text")), "_next": of(F.col("_text"))})
     else:
         both = _with_next(known, rows, of)
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 2 as int))"), F.expr("substring(_text, 1, cast(length(text) div 2 as int))"))
 
-    def row(z: Column) -> Column:
-        own, edit = z["own"], z["edit"]
-        return F.struct(
-            written(own).alias("fingerprint"), written(edit).alias("edited_fingerprint"),
-            likeness(own, edit).alias("near_edited"), likeness(own, z["next"]).alias("near_next"),
-        )
-
-    made = _let(F.struct(F.col("_own").alias("own"), of(edited).alias("edit"), F.col("_next").alias("next")), row)
-    out = both.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), F.inline(F.array(made)))
+    # Plain columns in two steps: each sketch is used several times, so the steps are not merged, and whoever takes only
+    # n_chars and edited_sha256 has no sketch worked out at all.
+    made = both.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "_own", of(edited).alias("_edit"), "_next")
+    own, edit = F.col("_own"), F.col("_edit")
+    out = made.select(
+        "doc_id", "n_chars", "edited_sha256", written(own).alias("fingerprint"), written(edit).alias("edited_fingerprint"),
+        likeness(own, edit).alias("near_edited"), likeness(own, F.col("_next")).alias("near_next"),
+    )
     alone = docs.where("doc_id is null").select("doc_id", n.cast("long").alias("n_chars"), written(of(F.col("text"))).alias("fingerprint"))
     return out.unionByName(alone, allowMissingColumns=True)

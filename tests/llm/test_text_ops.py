@@ -366,6 +366,15 @@ def test_fingerprint_edges(spark):
     assert sorted(x.n_chars for x in only) == [0, 1]
 
 
+def test_edited_texts_alone_need_no_fingerprint(spark):
+    """Whoever takes only the columns of the edited text has no sketch worked out, whether ids repeat or not."""
+    for ids in ([1, 2, 3], [1, 2, 2]):
+        docs = spark.createDataFrame([(i, "a b c d e f") for i in ids], "doc_id long, text string")
+        every = fingerprints.with_edits(docs)
+        plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (every, every.select("doc_id", "n_chars", "edited_sha256"))]
+        assert "xxhash64" in plans[0] and "xxhash64" not in plans[1]
+
+
 def _luhn(digits):
     d = [int(c) for c in digits if c.isdigit()][::-1]
     return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
