@@ -161,3 +161,23 @@ def test_engine_end_to_end(spark, tmp_path):
     again = Engine(spark).ruleset(str(tmp_path / "r.json")).load(str(tmp_path / "saved"), "saved")
     assert again.detect().matches.count() == 1
     assert again.sql("SELECT COUNT(*) AS n FROM logs WHERE EventID > 0").first()["n"] == 2
+
+
+def test_flatten_writes_columns_itself_some_rows_at_a_time(spark, monkeypatch):
+    """Columns as the keyed values have them: several spellings, kinds that differ by row, rows in small parts, no map on the way."""
+    values = [1, True, -(2**63), 2**63, 1.5, "", None, "é", [1, "a"], {"Deep": {"kEy": 7, "Hash": "A=1,B=2,bad"}}, "OriginalLogfile"]
+    rows = [{("Key", "key", "KEY")[i % 3]: v, "Whole": i % 2 == 0, "whole": i, "v 1": values[i % 7]} for i, v in enumerate(values * 3)]
+    texts = [json.dumps(r) for r in rows] + [" " + json.dumps({"Key": 5}), "{}", "[1]", "{bad", '{"Key": 1} x', ""]
+    events = spark.createDataFrame([(f"d/{i % 2}.json", t) for i, t in enumerate(texts)], "source_file string, raw string").coalesce(1)
+    m = Mapping(transforms=[])
+    columns = flatten.discover(flatten.keys(events, m))
+    held = [(r["source_file"], r["row_hash"], {e["key"]: e["value"] for e in r["entries"]}) for r in flatten.keyed(events, m, True).collect()]
+    want = []
+    for file, mark, entries in held:
+        found = [next((entries[s] for s in spellings if s in entries), None) for _, spellings, _ in columns]
+        want.append((file, *[int(v) if v is not None and whole else v for v, (_, _, whole) in zip(found, columns)], mark))
+    assert len(want) == 35 and {name.lower(): whole for name, _, whole in columns} == {"key": False, "whole": True, "v1": False, "a": False, "b": False, "originallogfile": False}
+    monkeypatch.setattr(flatten, "CELLS", 14)  # two rows a part
+    logs = flatten.flatten(events, m, hashes=True)
+    assert [tuple(r) for r in logs.collect()] == want
+    assert "map_from_entries" not in logs._jdf.queryExecution().optimizedPlan().toString()
