@@ -140,66 +140,71 @@ def _signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 for i in range(n_rows):
                     keys = mix(keys + bits[:, i : i + n_bands * n_rows : n_rows])
                 keys = keys.view(np.int64)
-                sig = (bits >> np.uint64(48)).astype("<u2")
+                sig = (bits >> np.uint64(48)).astype(np.uint16).view(np.int16)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(s.first, s.n), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                        pa.array([k if c else None for k, c in zip(keys, n)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sig], pa.binary()),
+                        pa.array([k if c else None for k, c in zip(keys, n)], pa.list_(pa.int64())), pa.ListArray.from_arrays(np.arange(s.n + 1, dtype=np.int32) * REGISTERS, sig.reshape(-1)),
                     ],
                     ["doc_id", "n", "d1", "d2", "bands", "sig"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<bigint>, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<bigint>, sig array<smallint>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """rep, elements of every text that has words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = column(b, "doc_id")
             for s in slices(column(b, "text")):
                 yield pa.RecordBatch.from_arrays([ids.slice(s.first, s.n), pa.array([x.tobytes() for x in shingle_sets(s, shingle)], pa.binary())], ["rep", "elements"])
 
-    return docs.mapInArrow(run, "rep long, elements binary")
+    return docs.mapInArrow(run, "rep long, elements binary").where("length(elements) > 0")
 
 
-def _likeness(pairs: DataFrame, test: str, percent: int) -> DataFrame:
-    """Keep the pairs (a, b, xa, xb) whose sets or signatures pass."""
+def _likely(pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs (a, b, xa, xb) whose signatures come near the threshold. Without Python: the join before it is split into many tasks."""
     p = percent / 100
     least = p - 6 * (p * (1 - p) / REGISTERS) ** 0.5
+    return pairs.where(f"aggregate(zip_with(xa, xb, (x, y) -> int(x = y)), 0, (n, x) -> n + x) / {REGISTERS}D >= {least!r}D").select("a", "b")
+
+
+def _linked(pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs (a, b, xa, xb) whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             xa, xb = column(b, "xa"), column(b, "xb")
             ok = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
-                u, v = xa[i].as_buffer(), xb[i].as_buffer()
-                if test == "sig":
-                    ok[i] = np.mean(np.frombuffer(u, "<u2") == np.frombuffer(v, "<u2")) >= least
-                else:
-                    u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
-                    both = len(np.intersect1d(u, v, assume_unique=True))
-                    ok[i] = 100 * both >= percent * (len(u) + len(v) - both)
+                u, v = np.frombuffer(xa[i].as_buffer(), np.uint64), np.frombuffer(xb[i].as_buffer(), np.uint64)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                ok[i] = 100 * both >= percent * (len(u) + len(v) - both)
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _with_both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-    """Join both ends of the pairs with their values. a may be hot, so it is joined last, on its own, where a skewed join splits."""
-    v = values.select("rep", F.col(name).alias("x"))
-    out = pairs.join(v.withColumnsRenamed({"rep": "b", "x": "xb"}), "b")
-    return out.join(v.withColumnsRenamed({"rep": "a", "x": "xa"}), "a").select("a", "b", "xa", "xb")
+def _with_both(pairs: DataFrame, values: DataFrame, name: str, end: str = "rep") -> DataFrame:
+    """a, b, xa, xb: the column end of both ends of the pairs, and their values. a may be hot, so it is joined last, on its own, where a skewed join splits."""
+    v = values.select("rep", F.col(name).alias("x"), F.col(end).alias("end"))
+    out = pairs.join(v.toDF("b", "xb", "eb"), "b")
+    return out.join(v.toDF("a", "xa", "ea"), "a").select(F.col("ea").alias("a"), F.col("eb").alias("b"), "xa", "xb")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u of edges (u, v) has one v, which is no u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    per = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return not per.agg(F.coalesce(F.max(F.expr("ups > 1 or (ups = 1 and least = 0)")), F.lit(False))).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node reachable. Alternating large and small stars."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "large")
@@ -260,38 +265,39 @@ def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = cut(_signatures(docs, shingle, percent), "signatures")
     own = sig.where("n > 0 and doc_id is not null")
-    classes = cut(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    first = classes.select(F.col("rep").alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in ("n", "d1", "d2")])
-    reps = own.join(first, "doc_id").where("n = _n and d1 = _d1 and d2 = _d2").dropDuplicates(["doc_id", "d1", "d2"])
-    reps = cut(reps.select(F.col("doc_id").alias("rep"), "bands", "sig"), "reps")
-    rows = reps.select("rep", F.explode("bands").alias("key"))
+    repeated = not _empty(own.groupBy("doc_id").count().where("count > 1"))
+    classes = cut(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    rows = classes.select("rep", F.explode("bands").alias("key"))
     lead = cut(rows.groupBy("key").agg(F.count("*").alias("_c"), F.min("rep").alias("lead")).where("_c > 1").select("key", "lead"), "leads")
     buckets = cut(rows.join(lead, "key"), "buckets")
     drop(lead)
-    pairs = buckets.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = cut(_likeness(_with_both(pairs, reps, "sig"), "sig", percent), "likely")
-    drop(reps)
+    pairs = buckets.where("rep <> lead").groupBy("rep").agg(F.collect_set("lead").alias("leads")).select(F.explode("leads").alias("a"), F.col("rep").alias("b"))
+    likely = cut(_likely(_with_both(pairs, classes, "sig"), percent), "likely")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """rep, elements of the documents of ids (doc_id), once each."""
+        found = _sets(docs.join(ids, "doc_id", "left_semi"), shingle)
+        return found.dropDuplicates(["rep", "elements"]) if repeated else found
 
     ends = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(_sets(docs.join(ends, "doc_id", "left_semi"), shingle).dropDuplicates(["rep", "elements"]), "sets")
-    links = cut(_likeness(_with_both(likely, sets, "elements"), "set", percent).unionByName(_same_id(own, classes)), "links")
+    sets = cut(sets_of(ends), "sets")
+    links = _linked(_with_both(likely, sets, "elements"), percent)
+    roots = components(links.unionByName(_same_id(own, classes)) if repeated else links)
     drop(likely), drop(sets)
-    roots = components(links)
 
     # Buckets that still hold several groups.
     grouped = cut(buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "grouped")
     several = grouped.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("key")
     open_ = cut(grouped.join(several, "key").select("rep", "root").distinct(), "open")
     drop(buckets), drop(grouped)
+    member = classes.withColumnRenamed("rep", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if not _empty(open_):
-        sets = _sets(docs.join(open_.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), shingle).dropDuplicates(["rep", "elements"])
-        sets = cut(sets.join(open_, "rep"), "open-sets")
-        more = cut(_likeness(_with_both(cut(prefix_pairs(sets, percent), "pairs"), sets, "elements"), "set", percent), "more-links")
+        sets = cut(sets_of(open_.select(F.col("rep").alias("doc_id"))).join(open_, "rep"), "open-sets")
+        # Links between groups, each by its root.
+        more = components(_linked(_with_both(prefix_pairs(sets, percent), sets, "elements", "root"), percent))
         drop(sets)
-        if not _empty(more):
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        member = member.join(more.toDF("root", "_top"), "root", "left").withColumn("root", F.coalesce("_top", "root"))
 
-    member = classes.withColumnRenamed("rep", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     member = cut(member.select(*[F.col(c).alias(f"_{c}") for c in ("n", "d1", "d2")], "root"), "members")
     out = sig.select("doc_id", "n", "d1", "d2").join(member, (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

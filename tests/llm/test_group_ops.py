@@ -66,6 +66,36 @@ def test_group_edges(spark):
     assert near_dup.deduplicate(df.limit(0), 3, 85).count() == 0
 
 
+def test_group_empty_rows_of_one_id(spark):
+    """Two documents that look alike by signature, below the threshold, each with an empty row besides: the empty rows are no link."""
+    words = [f"w{i}" for i in range(122)]
+    other = [f"y{i}" if i in (20, 40, 60, 80, 100) else w for i, w in enumerate(words)]
+    texts = [(1, " ".join(words)), (2, " ".join(other)), (1, None), (2, " ")]
+    got = sorted((x.doc_id, x.component_id, x.kept) for x in near_dup.deduplicate(spark.createDataFrame(texts, "doc_id long, text string"), 3, 85).collect())
+    assert got == [(1, 1, True)] * 2 + [(2, 2, True)] * 2
+
+
+def test_few_jobs_and_tables(spark, monkeypatch):
+    """Links that are stars already cost no round of components, and what is read once is not written."""
+    written = []
+    plain = near_dup.cut
+    monkeypatch.setattr(near_dup, "cut", lambda df, what: written.append(what) or plain(df, what))
+    base = [f"a{i}" for i in range(80)]
+    texts = [" ".join(base), " ".join([*base[:79], "z"]), " ".join(["y", *base[1:]]), "on its own it stands here"]
+    got = {x.doc_id: x.component_id for x in near_dup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+    assert written == ["signatures", "classes", "leads", "buckets", "likely", "sets", "edges", "grouped", "open", "members"]
+
+
+def test_stars(spark):
+    edges = spark.createDataFrame([(5, 2), (9, 5), (9, 7), (7, 3)], "a long, b long")
+    assert {(x.node, x.root) for x in near_dup.components(edges).collect()} == {(3, 2), (5, 2), (7, 2), (9, 2)}
+    stars = spark.createDataFrame([(5, 2), (9, 2), (8, 3)], "u long, v long")
+    assert near_dup._stars(stars)
+    for more in ((9, 3), (11, 8), (3, 1)):
+        assert not near_dup._stars(stars.union(spark.createDataFrame([more], "u long, v long")))
+
+
 def test_prefix_pairs_lose_nothing(spark):
     r = random.Random(6)
     sets = []
